@@ -197,7 +197,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """``(id, size, source_size, target, taken)`` for each document."""
         with_words = self.pieces.join(self.slots.select("s", "block", "words"), ["s", "block"], "left")
-        got = F.coalesce(F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), F.col("words") - F.col("at"))), F.lit(0).cast("long"))
+        none = F.lit(0).cast("long")
+        got = F.when(F.col("words").isNull(), none).otherwise(F.greatest(none, F.least(F.col("n"), F.col("words") - F.col("at"))))  # least() skips nulls
         held = with_words.groupBy("s", "offset", "id", "size", "source_size", "target").agg(F.sum(got).alias("taken"))
         columns = ["id", "size", "source_size", "target"]
         return held.select(*columns, "taken").unionByName(self.documents.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
