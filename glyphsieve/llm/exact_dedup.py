@@ -26,6 +26,8 @@ BLOCK_BITS = 32768
 #: Bound of the broadcast filter: 2**12 blocks of 4 KiB, 16 MiB.
 MAX_BLOCKS = 4096
 BITS_PER_KEY = 16
+#: Parquet's own filters in runs and levels, as small as each file allows (by default each takes a megabyte).
+BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def flush_runs(digests: DataFrame, path: str, n_runs: int, keep: str) -> None:
@@ -35,7 +37,7 @@ def flush_runs(digests: DataFrame, path: str, n_runs: int, keep: str) -> None:
         digests.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_runs)).cast("int").alias("run"), "digest")
         .agg(best.alias("survivor"), F.count(F.lit(1)).alias("n"))
         .sortWithinPartitions("run", "digest")
-        .write.partitionBy("run").option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        .write.partitionBy("run").options(**BLOOM).parquet(path)
     )
 
 
@@ -45,7 +47,7 @@ def compact(runs: DataFrame, path: str, keep: str) -> DataFrame:
     (
         runs.groupBy("digest").agg(best.alias("survivor"), F.sum("n").alias("n"))
         .sortWithinPartitions("digest")
-        .write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        .write.options(**BLOOM).parquet(path)
     )
     return runs.sparkSession.read.parquet(path)
 
