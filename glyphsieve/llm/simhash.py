@@ -18,10 +18,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, written
+from .common import LOWER, OWN, written
+from .filters import Filter
 
 BUCKET = 4096
 SHINGLES_AT_ONCE = 1 << 16
@@ -43,13 +44,13 @@ def fingerprint(raw: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``(id, fp)`` of ``(id, text)``, the fingerprint as a signed long."""
+    """``(id, th, fp)`` of ``(id, text)``: a hash of the text, and the fingerprint as a signed long."""
 
     @F.arrow_udf("bigint")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(raw or b"", size) for raw in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64))
 
-    return docs.select("id", of("text").alias("fp"))
+    return docs.select("id", F.xxhash64("text").alias("th"), of("text").alias("fp"))
 
 
 def blocks_for(n: int, distance: int = 3) -> int:
@@ -168,6 +169,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, distance: int, blocks: int | None, bucket: int) -> DataFrame:
+    """``(id, th, fp, root, component_id)`` for each row; ``th`` hashes its text, ``root`` is the component's least fingerprint."""
+    prints = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), size), "simhash")
+    firsts = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "first-of-fingerprint")
+    stars = components(links(firsts.select("fp"), distance, blocks, bucket))
+    rooted = written(firsts.join(stars, firsts["fp"] == stars["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root")), "roots")
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_print = written(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(of_print, "fp")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
     r"""The component of each document under links between close fingerprints.
 
@@ -176,10 +188,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (16 hex digits) ``, component_id`` (the least id of the component). Repeated rows are returned as often. Null
     ids are never a component's id unless it has no other. Other columns are not read. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), size), "simhash")
-    firsts = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "first-of-fingerprint")
-    stars = components(links(firsts.select("fp"), distance, blocks, bucket))
-    rooted = written(firsts.join(stars, firsts["fp"] == stars["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root")), "roots")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = written(rooted.join(named, "root").select("fp", "component_id"), "components")
-    return prints.join(of_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = _grouped(docs, id_col, text_col, size, distance, blocks, bucket)
+    return of.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the row with the least id.
+
+    Of rows that share that id the one whose text has the least hash stays, and one of those that repeat it. Null ids
+    are last. What goes is a set of (id, text hash); rows that miss a filter over it stay without a shuffle.
+    """
+    of = written(_grouped(docs, id_col, text_col, size, distance, None, BUCKET).select("root", F.col("id").isNull().alias("no_id"), "id", "th"), "grouped")
+    key = F.xxhash64(F.col("id").cast("string"), F.col("th"))
+    best = of.groupBy("root").agg(F.min(F.struct("no_id", "id", "th")).alias("best")).select("best.*").withColumn("key", key).select("key")
+    counted = written(of.groupBy(key.alias("key")).count(), "row-keys")
+    gone = written(counted.join(best, "key", "left_anti").select("key"), "gone")
+    again = written(counted.where("count > 1").join(gone, "key", "left_anti").select("key"), "repeated-rows")
+    own = f"{OWN}key"
+    keyed = docs.withColumn(own, F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(text_col)))
+    marked = Filter(gone.unionByName(again)).mark(keyed, own)
+    sure, asked = marked.where("NOT __gs_maybe").select(*docs.columns), marked.where("__gs_maybe")
+    left = asked.join(gone, F.col(own) == gone["key"], "left_anti")
+    many = left.join(again, F.col(own) == again["key"], "left_semi").withColumn(f"{OWN}k", F.row_number().over(Window.partitionBy(own).orderBy(own))).where(f"{OWN}k = 1")
+    few = left.join(again, F.col(own) == again["key"], "left_anti")
+    return sure.unionByName(few.select(*docs.columns)).unionByName(many.select(*docs.columns))
