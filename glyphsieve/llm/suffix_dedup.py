@@ -11,8 +11,8 @@ a parse, without a global order:
 2. *Dictionary.* Phrases are counted by (trigger, phrase) hashes, 128 bits. All windows of a phrase that
    occurs twice are repeated. Inside a long repeated passage that settles every window with a row per trigger.
 3. *Suffixes of the dictionary.* At the ends of passages phrases differ in part. Where a trigger has several phrases
-   and one of them occurs once, the phrases' suffixes of ``length`` bytes are compared: each distinct phrase gives
-   the hashes of its windows, and those that two phrases share are repeated.
+   and one of them occurs once, the phrases' suffixes of ``length`` bytes are compared: the phrases meet by trigger, and windows
+   that two of them share are repeated. Triggers with more than ``GROUP_LIMIT`` phrases spread their windows over all tasks.
 4. The windows found are joined by document, their union is cut out.
 
 Counting combines map-side first, so a passage in a third of all documents is a few rows per task. Texts are shuffled
@@ -35,6 +35,8 @@ from .filters import Filter
 
 TRIGGER = 32
 AT_ONCE = 1 << 20
+#: Phrases of one trigger that a task compares by itself; beyond it their windows are counted over all tasks.
+GROUP_LIMIT = 2048
 _INDEX = 24
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -140,12 +142,68 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_OPEN = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("t", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("known", pa.bool_()), ("phrase", pa.binary())])
+
+
+def _hashes(phrase: bytes, length: int) -> list[int]:
+    view = memoryview(phrase)
+    return [xxhash.xxh3_64_intdigest(view[x : x + length]) for x in range(len(phrase) - length + 1)]
+
+
+def _window_hashes(length: int):
+    @F.arrow_udf("array<bigint>")
+    def of(column: pa.Array) -> pa.Array:
+        lists = [_hashes(x, length) for x in column.to_pylist()]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.array([h for x in lists for h in x], np.uint64).view(np.int64)))
+
+    return of
+
+
+def _shared(batches, length: int):
+    """Rows come by trigger: for each phrase that occurs once, the ranges of its windows that another phrase of the trigger has."""
+    held: list[tuple] = []
+
+    def settle() -> list[tuple]:
+        by_phrase = {r[3]: r for r in held}
+        if len(by_phrase) < 2:
+            return []
+        seen: dict[int, int] = {}
+        hashed = {p: _hashes(r[6], length) for p, r in by_phrase.items()}
+        for hashes in hashed.values():
+            for h in hashes:
+                seen[h] = seen.get(h, 0) + 1
+        out = []
+        for p, (k1, k2, _, _, s, known, _) in by_phrase.items():
+            if known:
+                continue
+            begun = None
+            for x, h in enumerate([*hashed[p], None]):
+                if h is not None and seen[h] > 1:
+                    begun = x if begun is None else begun
+                elif begun is not None:
+                    out.append((k1, k2, s + begun, s + x - 1))
+                    begun = None
+        return out
+
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][2] != row[2]:
+                out += settle()
+                held = []
+            held.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], ["k1", "k2", "a", "b"])
+    if held:
+        out = settle()
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], ["k1", "k2", "a", "b"])
+
+
 def _slices(batch: pa.RecordBatch, rows: int = 512):
     for k in range(0, batch.num_rows, rows):
         yield batch.slice(k, rows)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Removes each byte that a string of ``length`` bytes covers which also starts anywhere else.
 
     Texts are UTF-8 bytes, matches don't cross documents; the same document may hold both, overlaps count, and strings are
@@ -177,9 +235,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # The dictionary: each phrase under a repeated trigger, how often it occurs, and one document that holds it.
     words = written(held.groupBy("t", "p").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2")).alias("at")), "dictionary")
     # Triggers with several phrases of which one occurs once: their phrases' suffixes are compared.
-    mixed = written(words.groupBy("t").agg(F.count(F.lit(1)).alias("phrases"), F.min("n").alias("least")).where("phrases > 1 AND least = 1").select("t"), "mixed-triggers")
+    mixed = written(words.groupBy("t").agg(F.count(F.lit(1)).alias("phrases"), F.min("n").alias("least")).where("phrases > 1 AND least = 1").select("t", "phrases"), "mixed-triggers")
     word = F.col("t").bitwiseXOR(F.col("p"))
-    open_ = written(words.join(mixed, "t").select("at.k1", "at.k2", word.alias("w"), (F.col("n") > 1).alias("known")).groupBy("k1", "k2").agg(F.collect_list("w").alias("w"), F.collect_list("known").alias("known")), "open-phrases")
+    asked = words.join(mixed, "t").select("at.k1", "at.k2", word.alias("w"), (F.col("n") > 1).alias("known"), (F.col("phrases") > group_limit).alias("large"))
+    asked = written(asked.groupBy("k1", "k2", "large").agg(F.collect_list("w").alias("w"), F.collect_list("known").alias("known")), "open-phrases")
 
     def suffixes(batches):
         for batch in batches:
@@ -188,20 +247,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts, wanted = _texts(part.column(2)), [dict(zip(w, k, strict=True)) for w, k in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
                 out = []
                 for i, (s, e, ah, seg) in enumerate(phrases(texts, length)):
-                    view, want = memoryview(texts[i]), wanted[i]
-                    for a, b, t, w in zip(s.tolist(), e.tolist(), ah.tolist(), (ah ^ seg).tolist(), strict=True):
-                        if (known := want.pop(w, None)) is not None:
-                            out.append((k1[i], k2[i], t, a, known, [xxhash.xxh3_64_intdigest(view[x : x + length]) for x in range(a, b + 1)]))
+                    for a, b, t, p in zip(s.tolist(), e.tolist(), ah.tolist(), seg.tolist(), strict=True):
+                        if (known := wanted[i].pop(t ^ p, None)) is not None:
+                            out.append((k1[i], k2[i], t, p, a, known, texts[i][a : b + length]))
                 if out:
-                    flat = pa.array(np.array([h for r in out for h in r[5]], np.uint64).view(np.int64))
-                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[5]) for r in out)]), pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([*(pa.array([r[j] for r in out], kind) for j, kind in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()])), lists], ["k1", "k2", "t", "s", "known", "h"])
-
-    asked = Filter(open_.select(F.xxhash64("k1", "k2").alias("k")), "k").mark(rows, "k").where("__gs_maybe")
-    windows = written(asked.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).join(open_, ["k1", "k2"]).select("k1", "k2", "text", "w", "known").mapInArrow(suffixes, "k1 long, k2 long, t long, s long, known boolean, h array<long>"), "suffixes")
-    shared = written(windows.select("t", F.explode("h").alias("h")).groupBy("t", "h").count().where("count > 1").select("t", "h"), "shared-suffixes")
-    starts = windows.where("NOT known").select("k1", "k2", "t", F.posexplode("h").alias("j", "h"), "s").join(shared, ["t", "h"])
-    starts = starts.select("k1", "k2", (F.col("s") + F.col("j")).alias("start")).groupBy("k1", "k2").agg(F.collect_list("start").alias("starts"))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(_OPEN)], schema=_OPEN)
+
+    def opened(rows_of: DataFrame) -> DataFrame:
+        near = Filter(rows_of.select(F.xxhash64("k1", "k2").alias("k")), "k").mark(rows, "k").where("__gs_maybe")
+        return near.select("k1", "k2", "text").join(rows_of, ["k1", "k2"]).select("k1", "k2", "text", "w", "known").mapInArrow(suffixes, "k1 long, k2 long, t long, p long, s long, known boolean, phrase binary")
+
+    shared = opened(asked.where("NOT large")).repartition("t").sortWithinPartitions("t").mapInArrow(lambda b: _shared(b, length), "k1 long, k2 long, a long, b long")
+    many = asked.where("large")
+    if many.take(1):  # a trigger's phrases may be any number: their windows are counted one by one
+        windows = written(opened(many).dropDuplicates(["t", "p"]).select("k1", "k2", "t", "s", "known", _window_hashes(length)("phrase").alias("h")), "suffixes")
+        twice_seen = written(windows.select("t", F.explode("h").alias("h")).groupBy("t", "h").count().where("count > 1").select("t", "h"), "shared-suffixes")
+        single = windows.where("NOT known").select("k1", "k2", "t", F.posexplode("h").alias("j", "h"), "s").join(twice_seen, ["t", "h"])
+        start = F.col("s") + F.col("j")
+        shared = shared.unionByName(single.select("k1", "k2", start.alias("a"), start.alias("b")))
+    starts = shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
     full = held.join(words.where("n > 1").select("t", "p"), ["t", "p"]).select("k1", "k2", word.alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("w"))
     found = written(full.join(starts, ["k1", "k2"], "full"), "repeats")
 
@@ -215,8 +279,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             part = [raw if whole[at + k] or some[at + k] else b"" for k, raw in enumerate(raws[at : at + 512])]
             for k, (s, e, ah, seg) in enumerate(phrases(part, length), at):
                 hit = np.isin(ah ^ seg, np.array(whole[k] or [], np.int64))
-                first = np.concatenate([s[hit], np.array(some[k] or [], np.int64)])
-                last = np.concatenate([e[hit], np.array(some[k] or [], np.int64)])
+                first = np.concatenate([s[hit], np.array([x["a"] for x in some[k] or ()], np.int64)])
+                last = np.concatenate([e[hit], np.array([x["b"] for x in some[k] or ()], np.int64)])
                 order = np.argsort(first, kind="stable")
                 spans: list[list[int]] = []
                 for a, b in zip(first[order].tolist(), (last[order] + length).tolist(), strict=True):
