@@ -1,18 +1,19 @@
 r"""Removal of repeated byte strings by prefix-free parsing.
 
-Two strings of ``length`` bytes are equal where two suffixes of the corpus share their first ``length`` bytes. A suffix
-array would order all suffixes; here only classes of suffixes that agree that far are wanted, and they are found from
-a parse, without a global order:
+Two strings of ``length`` bytes are equal where two neighbours in the corpus order of suffixes share their first ``length``
+bytes. That order is had from a parse:
 
 1. *Parse.* A rolling hash over ``TRIGGER`` bytes picks triggers: in each window of ``length`` bytes the first position
    with the least hash. Every window holds a trigger, and equal windows hold theirs at the same place. Windows that
    share a trigger follow each other; together they read one *phrase* (they start at ``s..e``, the phrase ends at
-   ``e + length``), so phrases overlap by ``length - 1`` bytes and no window is cut.
-2. *Dictionary.* Phrases are counted by (trigger, phrase) hashes, 128 bits. All windows of a phrase that
-   occurs twice are repeated. Inside a long repeated passage that settles every window with a row per trigger.
-3. *Suffixes of the dictionary.* At the ends of passages phrases differ in part. Where a trigger has several phrases
-   and one of them occurs once, the phrases' suffixes of ``length`` bytes are compared: the phrases meet by trigger, and windows
-   that two of them share are repeated. Triggers with more than ``GROUP_LIMIT`` phrases spread their windows over all tasks.
+   ``e + length``), so phrases overlap by ``length - 1`` bytes and no window is cut. Corpus order within ``length`` bytes hence
+   never looks past a phrase: it is the order of the dictionary's suffixes, each standing for all of its phrase's occurrences.
+2. *Dictionary.* Phrases are counted by (trigger, phrase) hashes, 128 bits: the parse's part of the order. All windows of a
+   phrase that occurs twice are repeated. Inside a long repeated passage that settles every window with a row per trigger.
+3. *Suffix array of the dictionary.* At the ends of passages phrases differ in part. Where a trigger has several phrases
+   and one of them occurs once, the phrases meet by trigger, a suffix array to depth ``length`` is made of them, and windows that are
+   equal to a neighbour in it are repeated. Suffixes under different triggers are never equal, so each trigger has an array of
+   its own. Triggers with more than ``GROUP_LIMIT`` phrases spread their suffixes over all tasks, by hash.
 4. The windows found are joined by document, their union is cut out.
 
 Counting combines map-side first, so a passage in a third of all documents is a few rows per task. Texts are shuffled
@@ -36,7 +37,7 @@ from .filters import Filter
 TRIGGER = 32
 AT_ONCE = 1 << 20
 #: Phrases of one trigger that a task compares by itself; beyond it their windows are counted over all tasks.
-GROUP_LIMIT = 2048
+GROUP_LIMIT = 512
 _INDEX = 24
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -159,6 +160,23 @@ def _window_hashes(length: int):
     return of
 
 
+def shared_windows(dictionary: list[bytes], length: int) -> list[bytearray]:
+    """For each phrase, one flag per window: whether another place of the dictionary holds it, too.
+
+    The dictionary's suffixes are put into the order of their first ``length`` bytes; neighbours with a common prefix of that
+    length are equal windows.
+    """
+    at = [(k, x) for k, phrase in enumerate(dictionary) for x in range(len(phrase) - length + 1)]
+    heads = [dictionary[k][x : x + length] for k, x in at]
+    order = sorted(range(len(at)), key=heads.__getitem__)
+    flags = [bytearray(max(0, len(phrase) - length + 1)) for phrase in dictionary]
+    for i, j in zip(order, order[1:], strict=False):
+        if heads[i] == heads[j]:
+            for k, x in (at[i], at[j]):
+                flags[k][x] = 1
+    return flags
+
+
 def _shared(batches, length: int):
     """Rows come by trigger: for each phrase that occurs once, the ranges of its windows that another phrase of the trigger has."""
     held: list[tuple] = []
@@ -167,22 +185,16 @@ def _shared(batches, length: int):
         by_phrase = {r[3]: r for r in held}
         if len(by_phrase) < 2:
             return []
-        seen: dict[int, int] = {}
-        hashed = {p: _hashes(r[6], length) for p, r in by_phrase.items()}
-        for hashes in hashed.values():
-            for h in hashes:
-                seen[h] = seen.get(h, 0) + 1
         out = []
-        for p, (k1, k2, _, _, s, known, _) in by_phrase.items():
+        for (k1, k2, _, _, s, known, _), flags in zip(by_phrase.values(), shared_windows([r[6] for r in by_phrase.values()], length), strict=True):
             if known:
                 continue
-            begun = None
-            for x, h in enumerate([*hashed[p], None]):
-                if h is not None and seen[h] > 1:
-                    begun = x if begun is None else begun
-                elif begun is not None:
-                    out.append((k1, k2, s + begun, s + x - 1))
-                    begun = None
+            x = flags.find(1)
+            while x >= 0:
+                end = flags.find(0, x)
+                end = len(flags) if end < 0 else end
+                out.append((k1, k2, s + x, s + end - 1))
+                x = flags.find(1, end)
         return out
 
     for batch in batches:
