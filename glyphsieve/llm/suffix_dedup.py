@@ -36,8 +36,8 @@ from .filters import Filter
 
 TRIGGER = 32
 AT_ONCE = 1 << 20
-#: Phrases of one trigger that a task compares by itself; beyond it their windows are counted over all tasks.
-GROUP_LIMIT = 512
+#: Phrases of one trigger that a task compares by itself, 20 MB of them or so; beyond it their windows are counted over all tasks.
+GROUP_LIMIT = 65_536
 _INDEX = 24
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -85,8 +85,8 @@ def _runs(data: np.ndarray, valid: np.ndarray | None, length: int) -> tuple[np.n
 
 
 def phrases(texts: list[bytes], length: int):
-    """For each text ``(s, e, trigger hash, phrase hash)`` arrays; empty ones for texts shorter than ``length``."""
-    none = (np.zeros(0, np.int64),) * 4
+    """For each text ``(s, e, trigger hash, phrase hash, trigger's place in the phrase)`` arrays; empty ones for texts shorter than ``length``."""
+    none = (np.zeros(0, np.int64),) * 5
     out: list[tuple] = [none] * len(texts)
     group: list[int] = []
 
@@ -97,11 +97,11 @@ def phrases(texts: list[bytes], length: int):
         valid = np.ones(len(joined) - length + 1, bool)
         for edge in edges[1:-1]:
             valid[max(0, edge - length + 1) : edge] = False
-        s, e, _, ah = _runs(np.frombuffer(joined, np.uint8), valid, length)
+        s, e, at, ah = _runs(np.frombuffer(joined, np.uint8), valid, length)
         seg = _digests(joined, s, e, length)
         cut = np.searchsorted(s, edges)
         for k, base, a, b in zip(group, edges.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=False):
-            out[k] = (s[a:b] - base, e[a:b] - base, ah[a:b], seg[a:b])
+            out[k] = (s[a:b] - base, e[a:b] - base, ah[a:b], seg[a:b], (at - s)[a:b])
         group.clear()
 
     held = 0
@@ -135,15 +135,15 @@ def _long(raw: bytes, length: int) -> tuple:
         if found and rows and found[-1][2] == rows[0][2]:
             found[-1][1] = rows.pop(0)[1]
         found += rows
-    s, e, _, ah = (np.array(x, np.int64) for x in zip(*found, strict=True))
-    return s, e, ah, _digests(raw, s, e, length)
+    s, e, a, ah = (np.array(x, np.int64) for x in zip(*found, strict=True))
+    return s, e, ah, _digests(raw, s, e, length), a - s
 
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_OPEN = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("t", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("known", pa.bool_()), ("phrase", pa.binary())])
+_OPEN = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("t", pa.int64()), ("p", pa.int64()), ("s", pa.int64()), ("known", pa.bool_()), ("phrase", pa.binary()), ("place", pa.int64())])
 
 
 def _hashes(phrase: bytes, length: int) -> list[int]:
@@ -160,20 +160,20 @@ def _window_hashes(length: int):
     return of
 
 
-def shared_windows(dictionary: list[bytes], length: int) -> list[bytearray]:
-    """For each phrase, one flag per window: whether another place of the dictionary holds it, too.
+def shared_windows(dictionary: list[tuple[bytes, int]], length: int) -> list[bytearray]:
+    """For each phrase, one flag per window: whether another phrase of the trigger holds it, too.
 
     The dictionary's suffixes are put into the order of their first ``length`` bytes; neighbours with a common prefix of that
-    length are equal windows.
+    length are equal windows. Equal windows hold the trigger at one place, so the suffix array is made place by place,
+    and a task holds no more than one suffix of each phrase at a time.
     """
-    at = [(k, x) for k, phrase in enumerate(dictionary) for x in range(len(phrase) - length + 1)]
-    heads = [dictionary[k][x : x + length] for k, x in at]
-    order = sorted(range(len(at)), key=heads.__getitem__)
-    flags = [bytearray(max(0, len(phrase) - length + 1)) for phrase in dictionary]
-    for i, j in zip(order, order[1:], strict=False):
-        if heads[i] == heads[j]:
-            for k, x in (at[i], at[j]):
-                flags[k][x] = 1
+    counts = [max(0, len(phrase) - length + 1) for phrase, _ in dictionary]
+    flags = [bytearray(n) for n in counts]
+    for back in range(max((place for _, place in dictionary), default=-1) + 1):
+        array = sorted((phrase[place - back : place - back + length], k) for k, (phrase, place) in enumerate(dictionary) if 0 <= place - back < counts[k])
+        for (head, i), (other, j) in zip(array, array[1:], strict=False):
+            if head == other:
+                flags[i][dictionary[i][1] - back] = flags[j][dictionary[j][1] - back] = 1
     return flags
 
 
@@ -186,7 +186,7 @@ def _shared(batches, length: int):
         if len(by_phrase) < 2:
             return []
         out = []
-        for (k1, k2, _, _, s, known, _), flags in zip(by_phrase.values(), shared_windows([r[6] for r in by_phrase.values()], length), strict=True):
+        for (k1, k2, _, _, s, known, *_), flags in zip(by_phrase.values(), shared_windows([r[6:] for r in by_phrase.values()], length), strict=True):
             if known:
                 continue
             x = flags.find(1)
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for part in _slices(batch):
                 k1, k2 = (part.column(j).to_numpy() for j in (0, 1))
                 out = []
-                for i, (_, _, ah, seg) in enumerate(phrases(_texts(part.column(2)), length)):
+                for i, (_, _, ah, seg, _) in enumerate(phrases(_texts(part.column(2)), length)):
                     if len(ah):
                         pair, n = np.unique(np.stack([ah, seg], 1), axis=0, return_counts=True) if len(np.unique(ah)) < len(ah) else (np.stack([ah, seg], 1), np.ones(len(ah), np.int64))
                         out.append((np.full(len(pair), k1[i]), np.full(len(pair), k2[i]), pair[:, 0], pair[:, 1], n))
@@ -258,16 +258,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 k1, k2 = (part.column(j).to_pylist() for j in (0, 1))
                 texts, wanted = _texts(part.column(2)), [dict(zip(w, k, strict=True)) for w, k in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
                 out = []
-                for i, (s, e, ah, seg) in enumerate(phrases(texts, length)):
-                    for a, b, t, p in zip(s.tolist(), e.tolist(), ah.tolist(), seg.tolist(), strict=True):
+                for i, (s, e, ah, seg, at) in enumerate(phrases(texts, length)):
+                    for a, b, t, p, place in zip(s.tolist(), e.tolist(), ah.tolist(), seg.tolist(), at.tolist(), strict=True):
                         if (known := wanted[i].pop(t ^ p, None)) is not None:
-                            out.append((k1[i], k2[i], t, p, a, known, texts[i][a : b + length]))
+                            out.append((k1[i], k2[i], t, p, a, known, texts[i][a : b + length], place))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(_OPEN)], schema=_OPEN)
 
     def opened(rows_of: DataFrame) -> DataFrame:
         near = Filter(rows_of.select(F.xxhash64("k1", "k2").alias("k")), "k").mark(rows, "k").where("__gs_maybe")
-        return near.select("k1", "k2", "text").join(rows_of, ["k1", "k2"]).select("k1", "k2", "text", "w", "known").mapInArrow(suffixes, "k1 long, k2 long, t long, p long, s long, known boolean, phrase binary")
+        return near.select("k1", "k2", "text").join(rows_of, ["k1", "k2"]).select("k1", "k2", "text", "w", "known").mapInArrow(suffixes, "k1 long, k2 long, t long, p long, s long, known boolean, phrase binary, place long")
 
     shared = opened(asked.where("NOT large")).repartition("t").sortWithinPartitions("t").mapInArrow(lambda b: _shared(b, length), "k1 long, k2 long, a long, b long")
     many = asked.where("large")
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         whole, some = whole.to_pylist(), some.to_pylist()
         for at in range(0, len(raws), 512):
             part = [raw if whole[at + k] or some[at + k] else b"" for k, raw in enumerate(raws[at : at + 512])]
-            for k, (s, e, ah, seg) in enumerate(phrases(part, length), at):
+            for k, (s, e, ah, seg, _) in enumerate(phrases(part, length), at):
                 hit = np.isin(ah ^ seg, np.array(whole[k] or [], np.int64))
                 first = np.concatenate([s[hit], np.array([x["a"] for x in some[k] or ()], np.int64)])
                 last = np.concatenate([e[hit], np.array([x["b"] for x in some[k] or ()], np.int64)])
