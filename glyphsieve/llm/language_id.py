@@ -243,9 +243,10 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chunks_per_doc:
         return pa.array(out, pa.list_(pa.binary()))
 
     # Rows that can't be among the first go before texts meet by language: what is left doesn't grow with the input.
+    # ``share`` has a row per language, of which the network has a class each.
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("h", F.xxhash64(F.col("id").cast("string")))
     share = usable.groupBy("lang").agg((F.lit(4.0 * docs_per_lang) / F.count(F.lit(1))).alias("share")).select(F.col("lang").alias("of"), "share")
-    early = usable.join(share, F.col("lang") == F.col("of")).where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("share"))
+    early = usable.join(F.broadcast(share), F.col("lang") == F.col("of")).where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("share"))
     first = Window.partitionBy("lang").orderBy("h", "id", "text")
     sample = early.withColumn("k", F.row_number().over(first)).where(F.col("k") <= docs_per_lang)
     rows = sorted((r["lang"], r["k"], r["parts"]) for r in sample.select("lang", "k", some("text").alias("parts")).collect())
