@@ -7,12 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEVELS = ("confirmed", "probable", "informational", "likely_false_positive")
-#: Tests on the lower-cased finding in this order; the first that holds decides.
-_CONFIRMED = ["softwareagent", "trainedalgorithmicmedia", "digitalsourcetype", "digital_source_type", "jpeg app11 segment", "png chunk jumd", "png chunk jumb", "png chunk cabx", "png chunk c2", "c2pa-related manifest", "c2patool reports"]
-_CONTEXT = ["svg decode note", "bad segment length", "truncated chunk", "not a valid", "svg <metadata> present", "format not", "not fully inspected", "unsupported", "xmp packet present", "customxml parts", "cms generator"]
-_PROBABLE = ["layer-a", "pdf-structured", "interesting", "xmp", "exif", "jpeg app", "png ", "attr:", "json-ld", "frontmatter", "meta:", "marker:", "ai:"]
+from . import fixed
 
+LEVELS = ("confirmed", "probable", "informational", "likely_false_positive")
 
 def _any(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
@@ -22,10 +19,10 @@ def confidence(finding: Column) -> Column:
     t = F.lower(finding)
     return (
         F.when(t.startswith("layer-a") & t.endswith("(space)"), "informational")
-        .when(_any(t, _CONFIRMED), "confirmed")
-        .when(t.startswith("info:") | _any(t, _CONTEXT), "informational")
+        .when(_any(t, fixed.CONFIRMED), "confirmed")
+        .when(t.startswith("info:") | _any(t, fixed.INFORMATIONAL), "informational")
         .when(F.contains(t, F.lit("byte-scan")), "likely_false_positive")
-        .when(_any(t, _PROBABLE), "probable")
+        .when(_any(t, fixed.PROBABLE), "probable")
         .otherwise("informational")
     )
 

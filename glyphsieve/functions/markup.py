@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names that say who or what made a document.
-AI_NAME = r"(?i)aigc|digital.?source|provenance|content.?credential|c2pa|synthid|gemini|openai|anthropic|claude|ai[-_ ]?generated|generator"
-AI_VENDOR = r"(?i)stable.?diffusion|dall.?e|midjourney|copilot|synthid|gemini|chatgpt|openai|anthropic|claude"
-FREE_TEXT = r"(?i)\b(authored|produced|written|made|created|generated)\s+(using|by|with)\b|\b(trained[-_ ]?)?algorithmic[-_ ]?media\b|\bdigital[-_ ]?source[-_ ]?type\b|\baigc\b|\bsynthid\b|\bcai:|\bcontentauth\b|\bcontent[-_ ]?credentials?\b|\bc2pa\b"
-HINTS = r"(?i)c2pa|contentcredentials|digitalsourcetype|algorithmicmedia|aigc|ai generated|generated by"
+from . import fixed
+
+HINTS = "(?i)" + "|".join(fixed.AI_META_HINTS[:12])
 C2PA = r"(?i)c2pa|content.?credential"
-JSONLD = AI_NAME + "|softwareagent|trainedalgorithmicmedia|digitalsourcetype"
-COMMENT = r"(?i)claude|anthropic|openai|chatgpt|gemini|copilot|synthid|c2pa|content.?credential|ai[-_ ]?generated|generated (by|with) "
-_DOERS = ["author", "create", "generate", "made", "produce", "written"]
-NAMING_KEYS = sorted({f"{v}{sep}{p}" for sep in ("_", "-", "") for v, p in [("generated", "by"), ("generated", "with"), ("created", "with"), ("made", "with"), ("written", "by"), ("produced", "by"), ("authored", "by")]} | {"generator", "creator", "producer", "software", "tool", "engine"})
-FRONT_KEYS = ["ai", "ai-generated", "ai_generated", "anthropic", "c2pa", "claude", "content_credentials", "contentcredentials", "created_with", "createdwith", "digital_source_type", "digitalsourcetype", "gemini", "generator", "llm", "model", "openai", "provenance", "synthid"]
+JSONLD = fixed.AI_META_NAME + "|" + fixed.JSONLD_EXTRA.removeprefix("(?i)")
+PRODUCT = "(?i)" + "|".join(re.escape(p) for p in fixed.PRODUCTS)
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -24,7 +21,7 @@ def _all(text: Column, pattern: str) -> Column:
 
 def named_value_is_ai(name: Column, value: Column) -> Column:
     """Under a name that names a tool any product counts; under other names only words that are no ordinary prose."""
-    return F.when(F.lower(name).isin(*NAMING_KEYS), F.regexp_like(value, F.lit(AI_NAME)) | F.regexp_like(value, F.lit(AI_VENDOR))).otherwise(F.regexp_like(value, F.lit(FREE_TEXT)))
+    return F.when(F.lower(name).isin(*fixed.GENERATOR_NAME_KEYS), F.regexp_like(value, F.lit(fixed.AI_META_NAME)) | F.regexp_like(value, F.lit(PRODUCT))).otherwise(F.regexp_like(value, F.lit(fixed.AI_FREE_TEXT_MARKER)))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -40,20 +37,20 @@ def _meta_name(tag: Column) -> Column:
 
 def is_cms_meta(tag: Column) -> Column:
     """A generator tag that names no AI vendor."""
-    return (F.lower(_meta_name(tag)) == "generator") & ~F.regexp_like(tag, F.lit(AI_VENDOR))
+    return (F.lower(_meta_name(tag)) == "generator") & ~F.regexp_like(tag, F.lit(fixed.GENERATOR_AI))
 
 
 def is_ai_meta(tag: Column) -> Column:
     """The tag without its content by names, the content by the rules for named values."""
     bare = F.regexp_replace(F.regexp_replace(tag, r'(?i)\bcontent\s*=\s*"[^"]*"', "content"), r"(?i)\bcontent\s*=\s*'[^']*'", "content")
-    return F.regexp_like(bare, F.lit(AI_NAME)) | F.regexp_like(bare, F.lit(HINTS)) | named_value_is_ai(_meta_name(tag), attribute(tag, "content"))
+    return F.regexp_like(bare, F.lit(fixed.AI_META_NAME)) | F.regexp_like(bare, F.lit(HINTS)) | named_value_is_ai(_meta_name(tag), attribute(tag, "content"))
 
 
 def html_findings(html: Column) -> Column:
     """``struct<findings,has_ai,has_c2pa>`` of a page."""
     tags = _all(html, r"(?i)<meta\b[^>]*>")
     ld = F.filter(_all(html, r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>.*?</script>"""), lambda b: F.regexp_like(b, F.lit(JSONLD)))
-    comments = F.filter(_all(html, r"(?s)<!--.*?-->"), lambda c: F.regexp_like(c, F.lit(COMMENT)))
+    comments = F.filter(_all(html, r"(?s)<!--.*?-->"), lambda c: F.regexp_like(c, F.lit(fixed.PROVENANCE_COMMENT)))
     data = _all(html, r"""(?i)\bdata-ai[A-Za-z0-9_-]*\s*=\s*["'][^"']*["']""")
     shown = lambda prefix, x, n: F.concat(F.lit(prefix), F.substring(x, 1, n))
     cms, ai = F.filter(tags, is_cms_meta), F.filter(tags, lambda t: ~is_cms_meta(t) & is_ai_meta(t))
@@ -75,20 +72,21 @@ def markdown_findings(text: Column) -> Column:
     keys = F.transform(pairs, lambda p: F.lower(p["key"]))
     agent = F.array_contains(keys, "name") & F.array_contains(keys, "description") & F.arrays_overlap(keys, F.array(F.lit("tools"), F.lit("allowed-tools")))
     exempt = lambda k: agent & k.isin("model", "tools", "name", "description")
-    flagged = F.filter(pairs, lambda p: (~exempt(F.lower(p["key"])) & (F.lower(p["key"]).isin(*FRONT_KEYS) | F.regexp_like(p["key"], F.lit(AI_NAME)))) | named_value_is_ai(p["key"], p["value"]))
+    flagged = F.filter(pairs, lambda p: (~exempt(F.lower(p["key"])) & (F.lower(p["key"]).isin(*fixed.AI_FRONTMATTER_KEYS) | F.regexp_like(p["key"], F.lit(fixed.AI_META_NAME)))) | named_value_is_ai(p["key"], p["value"]))
     prose = F.regexp_replace(text, r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)", "")
-    comments = F.filter(_all(prose, r"(?s)<!--.*?-->"), lambda c: F.regexp_like(c, F.lit(COMMENT)))
+    comments = F.filter(_all(prose, r"(?s)<!--.*?-->"), lambda c: F.regexp_like(c, F.lit(fixed.PROVENANCE_COMMENT)))
     found = F.concat(F.transform(flagged, lambda p: F.concat(F.lit("frontmatter: "), p["key"], F.lit("="), F.substring(p["value"], 1, 80))), F.transform(comments, lambda c: F.concat(F.lit("comment: "), F.substring(c, 1, 120))))
     return F.struct(found.alias("findings"), (F.size(found) > 0).alias("has_ai"), F.exists(found, lambda f: F.regexp_like(f, F.lit("(?i)c2pa|content"))).alias("has_c2pa"))
 
 
 def svg_findings(svg: Column) -> Column:
     """``struct<findings,has_ai,has_c2pa>`` of an SVG source."""
-    marks = F.filter(F.array(*[F.lit(m) for m in ("c2pa", "jumb", "c2ma", "contentcredentials", "contentauth", "cai:")]), lambda m: F.contains(F.lower(svg), m))
-    hints = F.filter(F.array(*[F.lit(m) for m in ("digitalsourcetype", "trainedalgorithmicmedia", "aigc", "ai generated", "generated by", "claude", "anthropic", "openai", "synthid")]), lambda m: F.contains(F.lower(svg), m))
+    low = F.lower(svg)
+    marks = F.filter(F.array(*[F.lit(m) for m in fixed.C2PA_MARKERS]), lambda m: F.contains(low, F.lower(m)))
+    hints = F.filter(F.array(*[F.lit(m) for m in fixed.AI_META_HINTS]), lambda m: F.contains(low, F.lower(m)))
     one = lambda test, text: F.when(test, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
-    found = F.concat(F.transform(marks, lambda m: F.concat(F.lit("marker:"), m)), F.transform(hints, lambda m: F.concat(F.lit("ai:"), m)), one(F.regexp_like(svg, F.lit("(?i)<metadata")), "svg <metadata> present"), one(F.regexp_like(svg, F.lit("(?i)<x:xmpmeta|<rdf:RDF")), "svg xmp/rdf present"))
-    return F.struct(found.alias("findings"), (F.size(F.concat(marks, hints)) > 0).alias("has_ai"), (F.size(marks) > 0).alias("has_c2pa"))
+    found = F.concat(F.transform(marks, lambda m: F.concat(F.lit("marker:"), m)), F.transform(hints, lambda m: F.concat(F.lit("ai:"), m)), one(F.regexp_like(svg, F.lit(r"(?i)<metadata[\s>]")), "svg <metadata> present"), one(F.regexp_like(svg, F.lit("(?i)xmpmeta|rdf:RDF|contentcredentials")), "XMP/RDF-like content in SVG"))
+    return F.struct(found.alias("findings"), (F.size(found) > 0).alias("has_ai"), ((F.size(marks) > 0) | F.regexp_like(svg, F.lit("(?i)c2pa|jumbf"))).alias("has_c2pa"))
 
 
 def data_uris(text: Column) -> Column:

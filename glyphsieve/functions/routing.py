@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SUFFIXES: dict[str, str] = {
-    "image": "avif bmp gif heic heif jpeg jpg png tif tiff webp",
-    "container": "docx epub htm html ltx markdown md mdx odt pdf pptx svg tex xlsx",
-    "text": "adoc arb asciidoc astro bash c cc cfg cjs conf cpp cs css csv dart gd gdshader go h hpp ini java js json jsx kt kts lua mjs org php pl po pot properties ps1 py r rb resx rs rst scala sh sql strings svelte swift text toml ts tsv tsx txt vue yaml yml zsh",
-    "av": "flac m4a m4v mov mp3 mp4 wav",
-}
-SKIPPED_DIRS = r"/(\.[^/]+|node_modules|__pycache__|venv|dist|build|target|vendor|coverage|site-packages)/"
-#: Hexadecimal beginnings that no text has.
-BINARY = {
-    "zip": "504B0304 504B0506 504B0708", "pdf": "255044462D", "png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif": "474946383761 474946383961", "bmp": "424D",
-    "tiff": "49492A00 4D4D002A", "riff": "52494646", "ogg": "4F676753", "gzip": "1F8B", "bzip2": "425A68", "xz": "FD377A585A00", "7z": "377ABCAF271C", "rar": "526172211A07",
-    "elf": "7F454C46", "class": "CAFEBABE", "ole": "D0CF11E0A1B11AE1", "sqlite": "53514C69746520666F726D6174203300", "psd": "38425053", "woff": "774F4646 774F4632", "font": "0001000000 4F54544F",
-}
+from . import fixed
+
+SKIPPED_DIRS = r"/(" + "|".join(re.escape(d) for d in fixed.SKIPPED_DIRS) + r"|\.[^/]+)/"
 
 
 def suffix(path: Column) -> Column:
@@ -27,8 +19,8 @@ def suffix(path: Column) -> Column:
 def kind_by_suffix(path: Column) -> Column:
     """The kind that a known suffix says; null for others. Bytes are not read."""
     ext, out = suffix(path), F.when(F.lit(False), "")
-    for kind, known in SUFFIXES.items():
-        out = out.when(ext.isin(*known.split()), kind)
+    for kind, known in fixed.SUFFIXES.items():
+        out = out.when(ext.isin(*known), kind)
     return out
 
 
@@ -62,8 +54,8 @@ def av_format(content: Column) -> Column:
 def binary_reason(content: Column) -> Column:
     """Why bytes are no text: a known beginning, NUL bytes, or many control bytes in the first 8 KiB; null for text and for nothing."""
     h, out = _head(content, 16), F.when(F.length(content) == 0, F.lit(None).cast("string"))
-    for name, starts in BINARY.items():
-        out = out.when(h.rlike("^(" + "|".join(starts.split()) + ")"), name)
+    for start, name in fixed.BINARY_MAGIC:
+        out = out.when(h.startswith(start.hex().upper()), name)
     octets = F.regexp_replace(_head(content, 8192), "(..)", "$1 ")
     controls = F.regexp_count(octets, F.lit("(0[0-8EF]|1[0-9A-F]) ")) - F.regexp_count(octets, F.lit("1B "))
     return out.when(F.regexp_like(octets, F.lit("(^| )00 ")), "nul bytes").when(controls / F.least(F.length(content), F.lit(8192)) > 0.05, "control bytes")
@@ -75,8 +67,15 @@ def kind(path: Column, content: Column) -> Column:
     return F.coalesce(kind_by_suffix(path), sniffed, F.lit("unknown"))
 
 
-_TYPES = {"image/png": "png", "image/jpeg": "jpeg", "image/webp": "webp", "image/avif": "avif", "image/heic": "heic", "image/heif": "heic", "image/gif": "gif", "image/bmp": "bmp", "image/tiff": "tiff", "application/pdf": "pdf", "application/epub+zip": "epub", "text/plain": "text", "audio/mp4": "mp4", "audio/x-m4a": "mp4", "video/quicktime": "mp4", "video/mp4": "mp4", "audio/mp3": "mp3", "audio/mpeg": "mp3", "audio/x-wav": "wav", "audio/wav": "wav"}
-_URL_SUFFIX = {"jpg": "jpeg", "heif": "heic", "tif": "tiff", "mov": "mp4", "m4a": "mp4", "htm": "html", "md": "markdown", "txt": "text"} | {k: k for k in "png jpeg webp avif heic gif bmp tiff svg pdf docx xlsx pptx odt epub mp4 wav mp3 html markdown".split()}
+# Kinds by content type and by a URL's suffix.
+_TYPES = {
+    "image/png": "png", "image/jpeg": "jpeg", "application/pdf": "pdf", "text/plain": "text", "image/webp": "webp", "image/avif": "avif", "image/heic": "heic", "image/heif": "heic", "image/gif": "gif", "image/bmp": "bmp", "image/tiff": "tiff",
+    "application/epub+zip": "epub", "video/mp4": "mp4", "video/quicktime": "mp4", "audio/x-m4a": "mp4", "audio/mp4": "mp4", "audio/wav": "wav", "audio/x-wav": "wav", "audio/mpeg": "mp3", "audio/mp3": "mp3",
+}
+_URL_SUFFIX = {
+    "png": "png", "jpg": "jpeg", "jpeg": "jpeg", "webp": "webp", "avif": "avif", "heic": "heic", "heif": "heic", "gif": "gif", "bmp": "bmp", "tiff": "tiff", "tif": "tiff", "svg": "svg", "pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx",
+    "odt": "odt", "epub": "epub", "mp4": "mp4", "mov": "mp4", "m4a": "mp4", "wav": "wav", "mp3": "mp3", "html": "html", "htm": "html", "md": "markdown", "markdown": "markdown", "txt": "text",
+}
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:

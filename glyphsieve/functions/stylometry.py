@@ -9,62 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from . import tokens
+from . import fixed, tokens
 
 HIGH, MEDIUM = 0.65, 0.40
 LEAST_WORDS, FULL_WORDS, WINDOW = 30, 100, 50
 
-#: Weight, label, and the phrase: an underscore is white space, word ends are added to both sides unless it says ``|:``.
-_PHRASES = {
-    1.5: {"as an AI": "as_an_ai"},
-    1.4: {"in today's world": "in_(today'?s|the)_((fast-paced|ever-evolving|digital|rapidly_changing)_)*(world|landscape|era|environment)"},
-    1.3: {"rich tapestry": "rich_tapestry(_of)?"},
-    1.2: {"I hope this helps": "i_hope_this_helps", "delve into": "delve[sd]?_into"},
-    1.1: {"stands as a testament": "stands?_as_a_testament", "serves as a beacon": "serve[sd]?_as_a_(catalyst|beacon|cornerstone|reminder)", "a testament to": "a_testament_to"},
-    1.0: {
-        "harness the power": "harness(ing|ed|es)?_the_power_of",
-        "multifaceted": "multifaceted_(approach|landscape|nature)",
-        "marks a milestone": "mark(s|ing)?_an?_(new|significant|pivotal|indelible)_(milestone|moment|chapter)",
-        "navigate the nuances": "navigat(es|ed|e|ing)_the_(nuances|intricacies|complexities)",
-        "plays a key role": "plays?_a_(key|vital|crucial|pivotal)_role",
-        "seamlessly blends": "seamlessly_(combine[sd]?|blends?|integrated|integrates?)",
-    },
-    0.9: {
-        "the future looks bright": "the_future_looks_bright",
-        "game changer": "(game-changing|game[- ]changer)",
-        "shallow analysis": "(underscoring|showcasing|symbolizing|reflecting)_(its|the|a)",
-        "holistic approach": "holistic_(perspective|view|approach)",
-        "paradigm shift": "paradigm_shift",
-        "fosters a culture": "foster(s|ing|ed)?_a_(deeper_understanding|culture|sense)",
-        "underscores the need": "underscore[sd]?_the_(significance|need|importance)",
-        "it is important to note": "it_is_(worth_noting|crucial|essential|important)_to_(highlight|consider|remember|note)",
-    },
-    0.8: {
-        "needless to say": "(it_goes_without_saying|needless_to_say)",
-        "worth noting that": "it(['’]s| is)_worth_noting_that",
-        "due to the fact": "due_to_the_fact_that",
-        "not just but also": "not_just\\b.{0,60}\\bbut_also",
-        "it's not just": "it['’]?s_not_just",
-        "leverage": "(utiliz(es|ed|ing|e)|leverag(es|ed|ing|e))",
-        "cutting-edge": "(cutting-edge|state-of-the-art|world-class)",
-        "sales language": "(breathtaking|vibrant|nestled)",
-        "to summarize": "to_summarize\\b[,\\s]|:",
-        "in conclusion": "in_conclusion\\b[,\\s]|:",
-        "a myriad of": "a_myriad_of",
-        "not only but": "not_only\\b[\\w\\s,]+\\bbut_(also_)?(highlights|acts_as|serves_to)",
-    },
-    0.7: {"let's dive in": "let['’]?s_(get_started|dive_in)", "dive into": "dive[sd]?_into", "unprecedented": "(unprecedented|unparalleled)"},
-    0.6: {"assistant chatter": "(happy_to_help|great_question!?|sure_thing!?)", "in order to": "in_order_to", "boasts": "boasts?", "groundbreaking": "(groundbreaking|revolutionary)", "moreover": "moreover\\b[,\\s]|:", "furthermore": "furthermore\\b[,\\s]|:", "ultimately": "ultimately\\b[,\\s]|:"},
-}
-
-
-def _regex(phrase: str) -> str:
-    open_end = phrase.endswith("|:")
-    return "(?i)\\b" + phrase.removesuffix("|:").replace("_", "\\s+") + ("" if open_end else "\\b")
-
-
-#: ``(label, weight, regular expression)``.
-PHRASES = [(label, weight, _regex(p)) for weight, group in _PHRASES.items() for label, p in group.items()]
+#: ``(label, weight, regular expression)``; ``\\w`` is spelled out, as Java's is ASCII only.
+PHRASES = [(label, weight, "(?i)" + pattern.replace(r"\w", r"\p{L}\p{N}_")) for pattern, label, weight in fixed.PHRASES]
 
 
 def phrase_hits(text: Column) -> Column:
