@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: By priority; a code point is of the first kind that holds it.
+# Code points by kind, in order of priority; a code point is of the first kind that holds it.
 RANGES: dict[str, str] = {
     "tag_chars": "E0001-E007F",
     "noncharacter": "FDD0-FDEF " + " ".join(f"{p:X}FFFE-{p:X}FFFF" for p in range(17)).replace("0FFF", "FFF"),
