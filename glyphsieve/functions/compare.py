@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from . import fixed, tokens
 
 
-def lexical_divergence(a: Column, b: Column) -> Column:
-    """One less the Jaccard similarity of the sets of word pairs; 0 if neither has any, 1 if one has none."""
-    x, y = tokens.bigrams(tokens.plain_words(a)), tokens.bigrams(tokens.plain_words(b))
+def set_divergence(x: Column, y: Column) -> Column:
+    """One less the Jaccard similarity of two sets; 0 if neither has any member, 1 if one has none."""
     both, any_ = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 0.0).when((F.size(x) == 0) | (F.size(y) == 0), 1.0).otherwise(1.0 - both / any_)
 
 
+def lexical_divergence(a: Column, b: Column) -> Column:
+    """The divergence of the texts' sets of word pairs."""
+    return set_divergence(tokens.bigrams(tokens.plain_words(a)), tokens.bigrams(tokens.plain_words(b)))
+
+
 def preserved(a: Column, b: Column, pattern: str) -> Column:
     """Share of the distinct matches in ``a`` that ``b`` has, too; 1 if ``a`` has none."""
     of = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
