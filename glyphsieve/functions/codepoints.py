@@ -72,23 +72,37 @@ STRIPPED = "[" + "".join(c[1:-1] for k, c in CLASSES.items() if k != "space") +
 SUSPECT = "[" + "".join(c[1:-1] for c in CLASSES.values()) + "]"
 
 
+def _java(char_class_: str) -> Column:
+    """The same class for Spark: ASCII and accented Latin letters are told apart before the class's many ranges."""
+    return F.lit(r"[[^\x00-\x9F\x{C0}-\x{24F}]&&" + char_class_ + "]")
+
+
 def native_counts(text: Column) -> Column:
     """``map<kind,count>`` by character class, of the kinds that occur."""
-    entries = F.array(*[F.struct(F.lit(k), F.regexp_count(text, F.lit(c)).cast("long")) for k, c in CLASSES.items()])
+    entries = F.array(*[F.struct(F.lit(k), F.regexp_count(text, _java(c)).cast("long")) for k, c in CLASSES.items()])
     return F.map_from_entries(F.filter(entries, lambda e: e["col2"] > 0))
 
 
 def suspicious_total(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(SUSPECT)).cast("long")
+    return F.regexp_count(text, _java(SUSPECT)).cast("long")
 
 
 def native_clean(text: Column) -> Column:
     """Strips all carriers and turns exotic spaces into plain ones, by class."""
-    return F.regexp_replace(F.regexp_replace(text, STRIPPED, ""), CLASSES["space"], " ")
+    return F.regexp_replace(F.regexp_replace(text, _java(STRIPPED), F.lit("")), _java(CLASSES["space"]), F.lit(" "))
 
 
 def normalize_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, CLASSES["space"], " ")
+    return F.regexp_replace(text, _java(CLASSES["space"]), F.lit(" "))
+
+
+def is_suspect(text: Column) -> Column:
+    """Whether a text holds any carrier; false for null."""
+    return F.coalesce(F.regexp_like(text, _java(SUSPECT)), F.lit(False))
+
+
+def suspects(text: Column) -> Column:
+    return F.regexp_extract_all(text, _java(SUSPECT), F.lit(0))
 
 
 def fold_confusables(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from re import _parser
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,19 +21,57 @@ LEAST_WORDS, FULL_WORDS, WINDOW = 30, 100, 50
 PHRASES = [(label, weight, "(?i)" + pattern.replace(r"\w", r"\p{L}\p{N}_")) for pattern, label, weight in fixed.PHRASES]
 
 
+def anchors(pattern: str) -> list[str]:
+    """Literals of which every match holds one, in lower case: the longest that the pattern asks for."""
+
+    def walk(tree) -> list[str] | None:
+        found, run = [], ""
+        for op, arg in [*tree, (None, None)]:
+            if op is _parser.LITERAL:
+                run += chr(arg).lower()
+                continue
+            if run:
+                found.append([run])
+                run = ""
+            if op is _parser.SUBPATTERN:
+                found.append(walk(arg[3]))
+            elif op is _parser.MAX_REPEAT and arg[0] > 0:
+                found.append(walk(arg[2]))
+            elif op is _parser.BRANCH:
+                every = [walk(x) for x in arg[1]]
+                found.append([a for x in every for a in x] if all(every) else None)
+        return max((x for x in found if x), key=lambda x: min(map(len, x)), default=None)
+
+    return walk(_parser.parse(pattern)) or [""]
+
+
+def counted(text: Column, low: Column, pattern: str) -> Column:
+    """Matches of a phrase; the regular expression runs only on texts that hold one of its literals."""
+    plain = pattern.removeprefix("(?i)").replace(r"\p{L}\p{N}_", r"\w")
+    return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in anchors(plain)]), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+
+
 def phrase_hits(text: Column) -> Column:
     """``array<struct<phrase,weight,count,samples>>`` of the phrases that occur."""
-    found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    rows = [F.struct(F.lit(label).alias("phrase"), F.lit(float(w)).alias("weight"), F.regexp_count(text, F.lit(p)).cast("long").alias("count"), F.slice(found(p), 1, 3).alias("samples")) for label, w, p in PHRASES]
-    return F.filter(F.array(*rows), lambda r: r["count"] > 0)
+
+    def rows(t: Column) -> Column:
+        n = lambda p: counted(t["text"], t["low"], p).cast("long")
+        samples = lambda p: F.when(n(p) > 0, F.slice(F.regexp_extract_all(t["text"], F.lit(p), F.lit(0)), 1, 3))
+        return F.array(*[F.struct(F.lit(label).alias("phrase"), F.lit(float(w)).alias("weight"), n(p).alias("count"), samples(p).alias("samples")) for label, w, p in PHRASES])
+
+    return F.filter(tokens.let(F.struct(text.alias("text"), F.lower(text).alias("low")), rows), lambda r: r["count"] > 0)
 
 
 def phrase_weight(text: Column) -> Column:
     """Sum of count times weight: one expression, no arrays."""
-    total = F.lit(0.0)
-    for _, weight, pattern in PHRASES:
-        total = total + F.regexp_count(text, F.lit(pattern)) * F.lit(float(weight))
-    return total
+
+    def total(t: Column) -> Column:
+        out = F.lit(0.0)
+        for _, weight, pattern in PHRASES:
+            out = out + counted(t["text"], t["low"], pattern) * F.lit(float(weight))
+        return out
+
+    return tokens.let(F.struct(text.alias("text"), F.lower(text).alias("low")), total)
 
 
 def sentence_lengths(text: Column) -> Column:
@@ -45,7 +86,7 @@ def _mean(numbers: Column) -> Column:
 def cadence(lengths: Column) -> Column:
     """``struct<mean,deviation,cv>``; the coefficient of variation is null below two sentences."""
     mean = _mean(lengths)
-    squares = F.aggregate(lengths, F.lit(0.0), lambda a, n: a + (n - mean) * (n - mean))
+    squares = tokens.let(F.struct(lengths.alias("n"), mean.alias("mean")), lambda x: F.aggregate(x["n"], F.lit(0.0), lambda a, n: a + (n - x["mean"]) * (n - x["mean"])))
     deviation = F.when(F.size(lengths) > 1, F.sqrt(squares / (F.size(lengths) - 1))).otherwise(F.lit(0.0))
     return F.struct(mean.alias("mean"), deviation.alias("deviation"), F.when(F.size(lengths) > 1, deviation / mean).alias("cv"))
 

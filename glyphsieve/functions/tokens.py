@@ -19,6 +19,11 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once; elsewhere a lambda evaluates what it refers to for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def words(text: Column) -> Column:
     """Lower-case word tokens."""
     return F.transform(_all(text, WORD), F.lower)
@@ -52,8 +57,8 @@ def units(text: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """The set of adjacent pairs."""
-    pairs = F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(pairs)
+    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(w, i), F.try_element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(let(tokens, pairs))
 
 
 def token_id(token: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import math
 from collections.abc import Callable
@@ -44,8 +43,8 @@ def statistic(ids: list[int], key: bytes, window: int = WINDOW, threshold: float
             repeated += 1
             continue
         seen.add(span)
-        seed = hmac.new(key, span[:-8], hashlib.sha256).digest()
-        u = (int.from_bytes(hmac.new(seed, span[-8:], hashlib.sha256).digest()[:8], "big") + 0.5) / 2**64
+        seed = hmac.digest(key, span[:-8], "sha256")
+        u = (int.from_bytes(hmac.digest(seed, span[-8:], "sha256")[:8], "big") + 0.5) / 2**64
         total -= math.log1p(-u) if u < 1 else -745.0
         counted += 1
     p = gamma_tail(counted, total)
@@ -66,6 +65,10 @@ def keyed(key: str, window: int = WINDOW, threshold: float = THRESHOLD):
 
 def counters(ids: Column, window: int = WINDOW) -> Column:
     """What ``keyed`` counts, by built-in functions: ``struct<tokens_total,skipped_no_context,skipped_repeated,counted>``."""
+    return tokens.let(ids, lambda x: _counters(x, window))
+
+
+def _counters(ids: Column, window: int) -> Column:
     n = F.size(ids)
     spans = F.when(n >= window, F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda k: F.array_join(F.slice(ids, k, F.lit(window)).cast("array<string>"), " "))).otherwise(F.array().cast("array<string>"))
     distinct = F.size(F.array_distinct(spans))

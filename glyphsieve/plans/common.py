@@ -11,7 +11,10 @@ PLANTED = " It is important to note that we delve into the rich tapestry of idea
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One in fewer files than there are cores is dealt out to all of them; a large one is never shuffled for that."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def quoted(text: str) -> str:

@@ -42,11 +42,11 @@ _STYLE_SQL = f"""{PLANTED_SQL},
     tiered AS (SELECT *, CASE WHEN score IS NULL THEN 'uncalibrated' WHEN score >= 0.65 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS tier FROM scored)"""
 
 
-@query(f"WITH {_STYLE_SQL} SELECT doc_id, n_words, n_sentences, round(mean_sentence, 6) AS mean_sentence, round(sentence_cv, 6) AS sentence_cv, round(mattr, 6) AS mattr, round(phrase_density, 6) AS phrase_density, round(score, 6) AS score, tier FROM tiered")
+@query(f"WITH {_STYLE_SQL} SELECT doc_id, n_words, n_sentences, mean_sentence, round(sentence_cv, 6) AS sentence_cv, mattr, round(phrase_density, 6) AS phrase_density, round(score, 6) AS score, tier FROM tiered")
 def stylometry_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stylometry.with_stylometry(planted(spark, sf_dir))
-    numbers = [rounded(F.col(c)).alias(c) for c in ("mean_sentence", "sentence_cv", "mattr", "phrase_density", "score")]
-    return out.select("doc_id", "n_words", "n_sentences", *numbers, "tier")
+    numbers = [rounded(F.col(c)).alias(c) for c in ("sentence_cv", "phrase_density", "score")]
+    return out.select("doc_id", "n_words", "n_sentences", "mean_sentence", "mattr", *numbers, "tier")
 
 
 @query(f"WITH {_STYLE_SQL} SELECT lang, tier, count(*) AS n FROM tiered GROUP BY ALL")
@@ -85,7 +85,7 @@ def layer_a_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PLANTED_SQL}, hit AS (SELECT unnest(regexp_extract_all(text, {class_sql("suspect")})) AS c FROM planted)
     SELECT printf('U+%04X', unicode(c)) AS codepoint, count(*) AS n FROM hit GROUP BY c""")
 def layer_a_by_codepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = planted(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(codepoints.SUSPECT), F.lit(0))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    hit = planted(spark, sf_dir).select(F.explode(codepoints.suspects(F.col("text"))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     return hit.select(F.concat(F.lit("U+"), F.lpad(F.ltrim(F.hex(F.encode("c", "utf-32")), F.lit("0")), 4, "0")).alias("codepoint"), "n")
 
 
@@ -100,7 +100,7 @@ def layer_a_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layer_a_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the rules that look at neighbours; texts without any carrier don't reach Python."""
     docs = planted(spark, sf_dir).select("doc_id", "text")
-    some = F.coalesce(F.regexp_like("text", F.lit(codepoints.SUSPECT)), F.lit(False))
+    some = codepoints.is_suspect(F.col("text"))
     hit = docs.where(some).select("doc_id", codepoints.cleaner()("text").alias("c")).select("doc_id", "c.removed_count", "c.replaced_count", F.sha2("c.text", 256).alias("clean_sha256"))
     return hit.unionByName(docs.where(~some).select("doc_id", F.lit(0).alias("removed_count"), F.lit(0).alias("replaced_count"), F.sha2("text", 256).alias("clean_sha256")))
 
@@ -202,8 +202,8 @@ def ngram_log_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_TABLE_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY round(score, 9) DESC, tok) AS rank FROM ratio) SELECT ctx, tok, rank, round(score, 5) AS score FROM top WHERE rank <= 3")
 def ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report: three tokens of each context."""
-    best = ngrams.top(_ratios(spark, sf_dir)[1].withColumn("score", F.round("score", 9)), 3)
-    return best.select("ctx", "tok", "rank", F.round("score", 5).alias("score"))
+    best = ngrams.top(_ratios(spark, sf_dir)[1].withColumn("raw", F.col("score")).withColumn("score", F.round("score", 9)), 3)
+    return best.select("ctx", "tok", "rank", F.round("raw", 5).alias("score"))
 
 
 @query(f"""{_TABLE_SQL}, hit AS (SELECT doc_id, count(*) AS hits, sum(score) AS total FROM pair JOIN ratio USING (ctx, tok) GROUP BY doc_id)
