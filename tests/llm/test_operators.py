@@ -127,7 +127,7 @@ def test_html_extraction():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies.</div>
       <article><h1>The  title</h1><p>A first paragraph &amp; some words, long enough to be text.<br>Next.<p>Another one, unclosed, that is text as well.</article>
       <aside>Related things to read, all of them.</aside><section class="comments"><p>A reader says something long about this.</p></section><form><p>Name</p></form><footer>(c) me</footer><script>x("</p>")</script></body></html>"""
-    assert html_extract.main_text(page) == "The title\nA first paragraph & some words, long enough to be text.\nNext.\nAnother one, unclosed, that is text as well."
+    assert html_extract.main_text(page) == "The title\nA first paragraph & some words, long enough to be text. Next.\nAnother one, unclosed, that is text as well."
     for odd in ("", "<", "<<<>>", "<p", "<script>", "&#xffffffff;", "<div>" * 3000, "plain text without any tag, which is a sentence.", "</p></div>"):
         html_extract.main_text(odd)
     assert not any(x in html_extract.main_text(page) for x in ("Home", "cookies", "Related", "reader", "Name", "(c)"))
