@@ -169,15 +169,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges
 
 
+def rooted(prints: DataFrame, firsts: DataFrame, stars: DataFrame) -> DataFrame:
+    """``prints`` with ``root`` and ``component_id``, from ``firsts`` (a row per fingerprint) and the components of linked ones."""
+    roots = written(firsts.join(stars, firsts["fp"] == stars["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root")), "roots")
+    named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_print = written(roots.join(named, "root").select("fp", "root", "component_id"), "components")
+    return prints.join(of_print, "fp")
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, distance: int, blocks: int | None, bucket: int) -> DataFrame:
     """``(id, th, fp, root, component_id)`` for each row; ``th`` hashes its text, ``root`` is the component's least fingerprint."""
     prints = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), size), "simhash")
     firsts = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "first-of-fingerprint")
     stars = components(links(firsts.select("fp"), distance, blocks, bucket))
-    rooted = written(firsts.join(stars, firsts["fp"] == stars["u"], "left").select("fp", "first", F.coalesce("v", "fp").alias("root")), "roots")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = written(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
-    return prints.join(of_print, "fp")
+    return rooted(prints, firsts, stars)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
@@ -198,7 +203,12 @@ def keep_firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that share that id the one whose text has the least hash stays, and one of those that repeat it. Null ids
     are last. What goes is a set of (id, text hash); rows that miss a filter over it stay without a shuffle.
     """
-    of = written(_grouped(docs, id_col, text_col, size, distance, None, BUCKET).select("root", F.col("id").isNull().alias("no_id"), "id", "th"), "grouped")
+    return stay(docs, _grouped(docs, id_col, text_col, size, distance, None, BUCKET), id_col, text_col)
+
+
+def stay(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What ``keep_firsts`` says, for rows ``(id, th, root)`` of ``docs`` grouped by ``root``."""
+    of = written(grouped.select("root", F.col("id").isNull().alias("no_id"), "id", "th"), "grouped")
     key = F.xxhash64(F.col("id").cast("string"), F.col("th"))
     best = of.groupBy("root").agg(F.min(F.struct("no_id", "id", "th")).alias("best")).select("best.*").withColumn("key", key).select("key")
     counted = written(of.groupBy(key.alias("key")).count(), "row-keys")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from glyphsieve.llm import decontam, exact_dedup, html_extract, language_id, line_dedup, mixing, quality, queries, simhash, suffix_dedup, warc
+from glyphsieve.llm import decontam, exact_dedup, html_extract, language_id, line_dedup, mixing, near_copies, quality, queries, simhash, suffix_dedup, warc
 from tests.conftest import SF, same
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -188,6 +188,53 @@ def test_simhash(spark):
     assert simhash.near_groups(table(spark, [])).count() == 0
 
 
+def near_brute_force(rows):
+    """The ids that stay: links between all pairs of Jaccard similarity 0.8 or more over five-word shingles as tuples."""
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    boss = list(range(len(rows)))
+
+    def top(k):
+        while boss[k] != k:
+            k = boss[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                boss[max(top(i), top(j))] = min(top(i), top(j))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(least.get(top(k), i), i)
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("small", [64, 2])
+def test_near_copies_of_five_words_against_brute_force(spark, small):
+    rng = random.Random(8)
+    common = " ".join(f"c{k}" for k in range(30))
+    rows = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, "one two"), (6, "x " * 50), (7, "x " * 60)]
+    for k in range(30):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 5, 9, 40, 200]))] + (common.split() if k % 3 == 0 else [])
+        for _ in range(6):
+            t = list(w)
+            for _ in range(rng.randrange(1 + len(w) // 25)):
+                t[rng.randrange(len(t))] = "new"
+            rows.append((100 + len(rows), " ".join(t[rng.randrange(3) :])))
+    want = near_brute_force(rows)
+    assert len(want) < len(simhash.keep_firsts(table(spark, rows)).collect())
+    kept = near_copies.keep_firsts(table(spark, rows), small=small)
+    assert kept.columns == ["doc_id", "text", "id", "k1"] and sorted(r["doc_id"] for r in kept.collect()) == want
+    assert near_copies.keep_firsts(table(spark, [])).count() == 0
+
+
+def test_pipeline_stage_takes_what_three_bits_leave(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == near_brute_force(rows)
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     words = lambda n: " ".join(rng.choice(["a", "b", "Cé", "d9"]) for _ in range(n))
