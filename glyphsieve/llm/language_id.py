@@ -284,8 +284,9 @@ def report(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     return identify(rows.select("doc_id", "text"), model, langs).select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), out["lang_pred"].alias("lang_pred"), out["score"].alias("score"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.25) -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least ``min_score``, with all their columns."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that get a language, with all their columns: a text that is null or without any letter goes, every
+    other stays in whichever language is likeliest, however unsure; if there was nothing to learn from, all go."""
     model, langs = fit(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
     out = F.col(f"{OWN}lang")
-    return identify(docs, model, langs, text_col).where((out["lang_pred"] != "und") & (out["score"] >= min_score)).drop(f"{OWN}lang")
+    return identify(docs, model, langs, text_col).where(out["lang_pred"] != "und").drop(f"{OWN}lang")

@@ -170,6 +170,16 @@ def test_language_id_held_out(spark):
     assert language_id.report(odd.limit(0)).count() == 0
 
 
+def test_keep_identified_drops_only_texts_without_a_letter(spark, monkeypatch):
+    """With six languages and a network that knows nothing each score is a sixth."""
+    langs = ["de", "en", "es", "fr", "it", "pt"]
+    flat = {k: v * 0 for k, v in language_id.init(len(langs)).items()}
+    monkeypatch.setattr(language_id, "fit", lambda *_: (flat, langs))
+    docs = spark.createDataFrame([(1, "some words"), (2, "123 !"), (3, None), (4, "é"), (5, "")], "doc_id long, text string").selectExpr("*", "'en' AS lang")
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and rows_of(kept) == [(1, "some words", "en"), (4, "é", "en")]
+
+
 def test_simhash(spark):
     rng = random.Random(6)
     rows = [(1, None), (2, ""), (3, "one"), (4, "ONE"), (5, "one two"), (None, "one two three four"), (6, "one two three four")]
