@@ -268,6 +268,42 @@ def test_quality_held_out(spark):
     assert {r["score"] for r in quality.report(odd, none).collect()} == {0.5} and quality.report(odd.limit(0), none).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Ids and texts that each stage keeps of what the one before kept, from a small table of planted cases."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    passage = words(12)
+    spark.createDataFrame([(1, passage), (2, words(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [words(40) + "\n" + (LONG if k % 4 == 0 else words(9)) for k in range(30)] + [None, "", "123 !", "é", "short"]
+    texts += [texts[3], texts[5] + " more", words(20) + " " + passage + " " + words(20), words(20) + " " + " ".join(passage.split()[:9]) + " end", passage]
+    docs = spark.createDataFrame([(k, t, ["en", "de"][k % 2], "web", len(t or "")) for k, t in enumerate(texts)], DOCS)
+    items = [tuple(r) for r in spark.read.parquet(str(tmp_path / "benchmark.parquet")).collect()]
+
+    def lines(rows):
+        digests = {i: d for i, _, _, d in line_dedup.brute_force(rows)}
+        holders = [i for i, t in rows if LONG in t.split("\n")]
+        out = [(i, "\n".join(x for x in t.split("\n") if x != LONG or i == max(holders))) for i, t in rows]
+        assert all(hashlib.sha256(t.encode()).hexdigest() == digests[i] for i, t in out)
+        return out
+
+    def near(rows):
+        ids = set(near_brute_force(rows))
+        return [r for r in rows if r[0] in ids]
+
+    want = list(enumerate(texts))
+    stages = [lambda rows: [(i, t) for i, t in rows if any(map(str.isalpha, t or ""))], lines, near, lambda rows: [r for r, x in zip(rows, decontam.brute_force(rows, items), strict=True) if not x[5]]]
+    for (_, stage), brute in zip(corpus_pipeline.STAGES[:-1], stages, strict=True):
+        before, want = want, brute(want)
+        assert want != before
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        path = str(tmp_path / stage.__name__)
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == want
+        assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash", "decontamination", "mixing"]
