@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from glyphsieve.functions import fixed
 
 MAX_TEXT_BYTES = 1 << 20
+BEYOND_CAP = "not fully inspected (decompressed text exceeds cap)"
 PNG_START, C2PA_CHUNKS = b"\x89PNG\r\n\x1a\n", ("cabx", "jumb", "jumd")
 REPORT = "struct<format:string,has_c2pa:boolean,has_ai:boolean,findings:array<string>>"
 
@@ -44,23 +45,26 @@ def png_chunks(data: bytes) -> Iterator[tuple[str, bytes, bytes]]:
         at += 12 + size
 
 
-def _inflated(value: bytes) -> bytes:
+def _inflated(value: bytes) -> tuple[bytes, bool]:
+    """At most ``MAX_TEXT_BYTES``, and whether that is all."""
     try:
-        return zlib.decompressobj().decompress(value, MAX_TEXT_BYTES)
+        out = zlib.decompressobj().decompress(value, MAX_TEXT_BYTES + 1)
     except zlib.error:
-        return b""
+        return b"", True
+    return out[:MAX_TEXT_BYTES], len(out) <= MAX_TEXT_BYTES
 
 
-def png_text(kind: str, value: bytes) -> tuple[str, bytes]:
-    """Keyword and text of a text chunk."""
+def png_text(kind: str, value: bytes) -> tuple[str, bytes, bool]:
+    """Keyword and text of a text chunk, and whether the text is whole."""
+    whole = True
     key, _, rest = value.partition(b"\0")
     if kind == "zTXt":
-        rest = _inflated(rest[1:])
+        rest, whole = _inflated(rest[1:])
     elif kind == "iTXt":
         packed, rest = rest[:1] == b"\1", rest[2:]
         rest = rest.split(b"\0", 2)[-1]
-        rest = _inflated(rest) if packed else rest
-    return key.decode("latin-1"), rest
+        rest, whole = _inflated(rest) if packed else (rest, True)
+    return key.decode("latin-1"), rest, whole
 
 
 def _is_c2pa_chunk(kind: str) -> bool:
@@ -74,13 +78,15 @@ def _png(data: bytes, found: list[str]) -> tuple[bool, bool]:
             c2pa = True
             found.append(f"PNG chunk {kind}")
         elif kind in ("tEXt", "zTXt", "iTXt", "eXIf"):
-            key, text = png_text(kind, value) if kind != "eXIf" else ("", value)
+            key, text, whole = png_text(kind, value) if kind != "eXIf" else ("", value, True)
             marks, hints = _held(key.encode() + b"\0" + text, fixed.C2PA_MARKERS[:-1]), _held(key.encode() + b"\0" + text, fixed.AI_META_HINTS)
             if key.lower() in fixed.GENERATOR_TEXT_KEYS:
                 hints += [p for p in _held(text, fixed.PRODUCTS) if p not in hints]
             c2pa, ai = c2pa or bool(marks), ai or bool(hints)
             if marks or hints:
                 found.append(f"PNG {kind} {key}: {', '.join(dict.fromkeys([*marks, *hints]))}")
+            if not whole:
+                found.append(f"PNG {kind} {key}: {BEYOND_CAP}")
     return c2pa, ai
 
 
@@ -166,7 +172,7 @@ def inspect(data: bytes) -> dict:
             c2pa, ai = _READERS[kind](data, found)
         except Damaged as e:  # what stands in the findings so far counts
             c2pa = any(x.startswith(("PNG chunk", "JPEG APP11", "WebP C2PA")) for x in found)
-            ai = bool(found)
+            ai = any(not x.endswith(BEYOND_CAP) for x in found)
             found.append(f"{kind} {e}; not fully inspected")
     return {"format": kind, "has_c2pa": c2pa, "has_ai": ai or c2pa, "findings": found}
 

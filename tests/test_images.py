@@ -51,3 +51,13 @@ def test_damage_and_foreign_bytes():
 def test_columns(spark):
     rows = spark.createDataFrame([(1, bytearray(CASES[3][0])), (2, None)], "k int, content binary").select("k", images.report("content").alias("r"), images.stripped("content").alias("s")).orderBy("k").collect()
     assert rows[0]["r"]["has_c2pa"] and rows[0]["s"]["removed"] == 1 and rows[1]["r"] is None
+
+
+@pytest.mark.parametrize("head, kind", [(b"a\0\0", b"zTXt"), (b"a\0\1\0\0\0", b"iTXt")])
+def test_text_beyond_the_cap_is_reported(head, kind):
+    said = [f"PNG {kind.decode()} a: not fully inspected (decompressed text exceeds cap)"]
+    full = b" " * images.MAX_TEXT_BYTES
+    for data in (png((kind, head + zlib.compress(full + b"Midjourney"))), png((kind, head + zlib.compress(full + b" ")))[:-3]):
+        got = images.inspect(data)
+        assert got["findings"][:1] == said and not got["has_ai"]
+    assert images.inspect(png((kind, head + zlib.compress(full))))["findings"] == []
