@@ -31,10 +31,13 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPE = frozenset("ul ol dl table body html article section div nav aside main".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ARTICLE = re.compile(r"<article\b", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CHROME = frozenset("nav header footer aside form menu dialog search".split())
 _BAD = frozenset("nav navbar navigation menu header footer sidebar aside ad ads adv advert advertisement adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets login search copyright legal toolbar masthead complementary contentinfo".split())
 _TALK = frozenset("comment comments disqus reply replies respond discussion".split())
+#: A class name with one of these says what a page or an element has, and not what it is: has-sidebar, comments-open.
+_STATE = frozenset("has with without no is open opened closed enabled disabled".split())
 _GOOD = frozenset("article content main post entry story body text articlebody".split())
 #: Log odds.
 BASE, PER_WORD, WORDS, SENTENCE, LINKS, PARAGRAPH, HEADING, INSIDE, NAMED, CHROME = -0.5, 0.06, 40, 0.8, -4.0, 0.7, 0.4, 3.0, 1.0, -9.0
@@ -45,11 +48,11 @@ NEAR, FAR, SIBLING = 0.6, 0.15, 0.4
 class Element:
     """An open element: its name, and what it and its ancestors say about the text in it."""
 
-    __slots__ = ("name", "odds", "inside", "links", "dropped", "up")
+    __slots__ = ("name", "odds", "inside", "links", "dropped", "up", "blame")
 
     def __init__(self, name: str, attrs: str, up: Element | None):
         self.name, self.up = name, up
-        self.odds, self.inside, self.links, self.dropped = (up.odds, up.inside, up.links, up.dropped) if up else (0.0, False, False, False)
+        self.odds, self.inside, self.links, self.dropped, self.blame = (up.odds, up.inside, up.links, up.dropped, up.blame) if up else (0.0, False, False, False, ())
         if name in _DROPPED:
             self.dropped = True
         elif name == "a":
@@ -65,9 +68,14 @@ class Element:
                 if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "none" in value.replace(" ", "").partition("display:")[2][:4]:
                     self.odds = min(self.odds, CHROME)
                 elif key != "style":
-                    words.update(x.lower() for x in _PIECES.findall(value))
-            if words & _TALK or words & _BAD and not words & _GOOD:
+                    for token in value.split():
+                        pieces = {x.lower() for x in _PIECES.findall(token)}
+                        if not pieces & _STATE:
+                            words |= pieces
+            if words & _TALK:
                 self.odds = min(self.odds, CHROME)
+            elif words & _BAD and not words & _GOOD:
+                self.blame = (*self.blame, self)
             elif words & _GOOD:
                 self.inside = self.inside or "main" in words or "articlebody" in words
                 self.odds = self.odds or NAMED
@@ -89,6 +97,8 @@ def blocks_of(page: str) -> list[Block]:
     here = Element("html", "", None)
     parts: list[str] = []
     linked = at = 0
+    lone = len(_ARTICLE.findall(page)) == 1
+    holders: set[Element] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -156,7 +166,18 @@ def blocks_of(page: str) -> list[Block]:
             at = stop.end() if stop else n
             continue
         here = Element(name, m[3], here)
+        if here.blame and (name == "main" or name == "article" and lone):
+            holders.update(here.blame)
     flush()
+    # What is named like chrome is chrome, unless it holds most of the page's text, its main element or its only article.
+    held: dict[Element, int] = {}
+    for b in found:
+        for e in b.parent.blame:
+            held[e] = held.get(e, 0) + len(b.text)
+    total = sum(len(b.text) for b in found) if held else 0
+    for b in found:
+        if any(e not in holders and 2 * held[e] <= total for e in b.parent.blame):
+            b.odds += min(0.0, CHROME - b.parent.odds)
     return found
 
 

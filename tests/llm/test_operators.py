@@ -133,6 +133,13 @@ def test_html_extraction():
     assert not any(x in html_extract.main_text(page) for x in ("Home", "cookies", "Related", "reader", "Name", "(c)"))
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='has-sidebar'><article>{}</article>", "<article class='post comments-open'>{}</article>", "<div id=sidebar-left><main>{}</main></div>", "<div class='widget'>{}</div>"])
+def test_html_extraction_inside_a_wrapper_named_like_chrome(wrapper):
+    text = "A first paragraph and some words, long enough to be text of the page. " * 3
+    page = f"<body><nav>Home</nav>{wrapper.format(f'<p>{text}</p><div class=ad><p>Buy this now, it is cheap.</p></div><div class=comments><p>A reader says something long about this.</p></div>')}<div class=sidebar><p>Other things to read here.</p></div>"
+    assert html_extract.main_text(page) == text.strip()
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(5)
     for _ in range(60):
