@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,13 +17,19 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 OWN = "__gs_"
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a session on this machine
+    alone gets one of its own; on a cluster that would lose rows, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jsc.get() if jsc.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="glyphsieve-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,7 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/glyphsieve/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/glyphsieve/{label}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at its end; what is made of them must have been written by then, too."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_SCRATCH.pop())
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
