@@ -7,13 +7,18 @@ bytes, how far the block lies from the end; unknown blocks skip ``m - block + 1`
 bucket of that suffix block names the patterns to compare.
 
 The benchmark is the stated query set. It is read in blocks of at most ``BLOCK_BYTES`` of text, each broadcast by
-itself, and every document is searched with every block; a worker holds the tables of two blocks at a time.
+itself, and every document is searched with every block. A worker keeps the tables of ``HELD`` blocks, some 30 MB each;
+where a benchmark has more, it searches ``AT_ONCE`` bytes of documents at a time, so that tables are built once for
+as much text as takes longer to search than they take to build. Broadcasts lie on the disks of driver and executors;
+a worker loads each, so it holds the benchmark's texts, but not their tables, whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import OrderedDict, defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +30,10 @@ from .common import OWN
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 BLOCK_BYTES = 512 << 10
 SUFFIX = 8
+#: Blocks whose tables a worker keeps.
+HELD = 8
+#: Bytes of documents that are searched with one block after the other where there are more.
+AT_ONCE = 64 << 20
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -42,30 +51,34 @@ def windows(items: list[tuple[str, bytes]], n: int) -> dict[bytes, list[str]]:
 
 
 class WuManber:
-    """Finds all occurrences of patterns, overlaps included."""
+    """Finds all occurrences of patterns, overlaps included. The shift table is indexed by a block's hash, so it takes
+    a byte or four per block; blocks that share a place share the smaller shift, which costs steps but no occurrence."""
 
     def __init__(self, patterns: list[bytes]):
-        self.m = min(map(len, patterns))
-        self.block = b = min(SUFFIX, self.m)
-        self.far = self.m - b + 1
-        self.shift: dict[bytes, int] = {}
+        distinct = set(patterns)
+        self.m = m = min(map(len, distinct))
+        self.block = b = min(SUFFIX, m)
+        self.far = far = min(m - b + 1, 255)
+        self.mask = mask = (1 << min(24, max(12, (2 * len(distinct) * far).bit_length()))) - 1
+        self.shift = shift = bytearray([far]) * (mask + 1)
         self.buckets: dict[bytes, list[bytes]] = defaultdict(list)
-        for p in set(patterns):
-            for end in range(b, self.m + 1):
-                part, left = p[end - b : end], self.m - end
-                if left < self.shift.get(part, self.far):
-                    self.shift[part] = left
-            self.buckets[p[self.m - b : self.m]].append(p)
+        for p in distinct:
+            for left in range(min(far, m - b + 1)):
+                at = hash(p[m - left - b : m - left]) & mask
+                if left < shift[at]:
+                    shift[at] = left
+            self.buckets[p[m - b : m]].append(p)
 
     def find(self, text: bytes) -> list[tuple[int, bytes]]:
         found, at, n = [], self.m, len(text)
-        shift, far, b, m = self.shift.get, self.far, self.block, self.m
+        shift, mask, b, m, bucket = self.shift, self.mask, self.block, self.m, self.buckets.get
         while at <= n:
-            step = shift(text[at - b : at], far)
+            part = text[at - b : at]
+            step = shift[hash(part) & mask]
             if step:
                 at += step
                 continue
-            for p in self.buckets[text[at - b : at]]:
+            for p in bucket(part, ()):
                 if text.startswith(p, at - m):
                     found.append((at - m, p))
             at += 1
@@ -94,32 +107,55 @@ class Search:
         return out
 
 
-_READY: OrderedDict = OrderedDict()
+#: By the block's name, which no other block of any benchmark has.
+_READY: OrderedDict[tuple[str, int], Search] = OrderedDict()
 
 
-def _search(block, n: int) -> Search:
-    key = (block.id if hasattr(block, "id") else id(block), n)
-    if key not in _READY:
-        while len(_READY) > 1:
+def _search(name: str, block, n: int) -> Search:
+    if (name, n) not in _READY:
+        while len(_READY) >= HELD:
             _READY.popitem(last=False)
-        _READY[key] = Search(block.value, n)
-    return _READY[key]
+        _READY[name, n] = Search(block.value, n)
+    return _READY[name, n]
 
 
-def query_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list:
-    """The benchmark in broadcasts of bounded size. Rows arrive one partition at a time."""
+def query_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list[tuple]:
+    """The benchmark as ``(name, broadcast)`` of bounded size. Rows arrive one partition at a time."""
     sc, blocks, rows, size = benchmark.sparkSession.sparkContext, [], [], 0
     for item, text in benchmark.select(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))).toLocalIterator():
         raw = text.encode()
         if rows and size + len(raw) > block_bytes:
-            blocks.append(sc.broadcast(rows))
+            blocks.append((uuid.uuid4().hex, sc.broadcast(rows)))
             rows, size = [], 0
         rows.append((item or "", raw))
         size += len(raw)
-    return [*blocks, sc.broadcast(rows)] if rows else blocks
+    return [*blocks, (uuid.uuid4().hex, sc.broadcast(rows))] if rows else blocks
+
+
+def _found(folded: list[tuple[int, bytes]], blocks: list[tuple], n: int) -> list[dict]:
+    """What ``scan`` says of each ``(number of words, words between single spaces)``."""
+    hits: list[list] = [[] for _ in folded]
+    names: list[set] = [set() for _ in folded]
+    for name, block in blocks:
+        search = _search(name, block, n)
+        for k, (size, text) in enumerate(folded):
+            if size:
+                for first, count, pattern in search.run(text):
+                    hits[k].append((first, first + count))
+                    names[k].update(search.items[pattern])
+    out = []
+    for (size, _), spans, ids in zip(folded, hits, names, strict=True):
+        runs: list[list[int]] = []
+        for start, end in sorted(spans):
+            if runs and start <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([start, end])
+        out.append({"n_words": size, "n_hit": sum(e - s for s, e in runs), "items": sorted(ids), "spans": [{"start": s, "end": e} for s, e in runs]})
+    return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_bytes: int = BLOCK_BYTES, at_once: int = AT_ONCE) -> DataFrame:
     """Marks the words of each document that lie in an occurrence of a benchmark window.
 
     A window is ``n`` consecutive words of an item; an item of fewer words, but not none, is one window. Returns the
@@ -132,30 +168,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     @F.arrow_udf("struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>")
-    def mark(texts: pa.Array) -> pa.Array:
-        folded = []
-        for raw in texts.cast(pa.binary()).to_pylist():
-            words = words_of(raw or b"")
-            folded.append((len(words), b" " + b" ".join(words) + b" "))
-        hits: list[list] = [[] for _ in folded]
-        names: list[set] = [set() for _ in folded]
-        for block in blocks:
-            search = _search(block, n)
-            for k, (size, text) in enumerate(folded):
-                if size:
-                    for first, count, pattern in search.run(text):
-                        hits[k].append((first, first + count))
-                        names[k].update(search.items[pattern])
-        out = []
-        for (size, _), spans, ids in zip(folded, hits, names, strict=True):
-            runs: list[list[int]] = []
-            for start, end in sorted(spans):
-                if runs and start <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], end)
-                else:
-                    runs.append([start, end])
-            out.append({"n_words": size, "n_hit": sum(e - s for s, e in runs), "items": sorted(ids), "spans": [{"start": s, "end": e} for s, e in runs]})
-        return pa.array(out, kind)
+    def mark(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        folded: list[tuple[int, bytes]] = []
+        sizes: list[int] = []
+        held = 0
+
+        def settle():
+            out, at = _found(folded, blocks, n), 0
+            for size in sizes:
+                yield pa.array(out[at : at + size], kind)
+                at += size
+            folded.clear()
+            sizes.clear()
+
+        for texts in columns:
+            for raw in texts.cast(pa.binary()).to_pylist():
+                words = words_of(raw or b"")
+                folded.append((len(words), b" " + b" ".join(words) + b" "))
+                held += len(folded[-1][1])
+            sizes.append(len(texts))
+            if len(blocks) <= HELD or held >= at_once:
+                yield from settle()
+                held = 0
+        yield from settle()
 
     return docs.withColumn(f"{OWN}scan", mark(F.col(text_col)))
 
