@@ -3,7 +3,8 @@
 Texts are cut into chunks of ``CHUNK`` bytes. One recurrent layer reads a chunk forwards, one backwards; at every
 position both states give probabilities over the languages. A document's probabilities are the mean over all positions
 of all its chunks. Training is backpropagation through time with the document's language as the label of every
-position, on the driver, over chunks of a bounded sample: the first ``docs_per_lang`` documents of each language by a hash of their id, and ``chunks_per_doc`` chunks from anywhere in each. The network is a few kilobytes and is broadcast.
+position, on the driver, over chunks of a bounded sample: at most ``docs_per_lang`` documents of
+each language, picked by a hash of id and text, and ``chunks_per_doc`` chunks from anywhere in each. The network is a few kilobytes and is broadcast.
 """
 
 from __future__ import annotations
@@ -242,13 +243,14 @@ def fit(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chunks_per_doc:
             out.append([raw[int(k) * CHUNK : (int(k) + 1) * CHUNK] for k in sorted(pick)])
         return pa.array(out, pa.list_(pa.binary()))
 
-    # Rows that can't be among the first go before texts meet by language: what is left doesn't grow with the input.
-    # ``share`` has a row per language, of which the network has a class each.
-    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("h", F.xxhash64(F.col("id").cast("string")))
-    share = usable.groupBy("lang").agg((F.lit(4.0 * docs_per_lang) / F.count(F.lit(1))).alias("share")).select(F.col("lang").alias("of"), "share")
-    early = usable.join(F.broadcast(share), F.col("lang") == F.col("of")).where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("share"))
-    first = Window.partitionBy("lang").orderBy("h", "id", "text")
-    sample = early.withColumn("k", F.row_number().over(first)).where(F.col("k") <= docs_per_lang)
+    # A language's documents are dealt to slots by a hash of id and text, and the least of each slot is kept: one of any number of
+    # copies, none of a language's rows lost while a slot is free, and no more than the slots whatever the input's size.
+    slots = 4 * docs_per_lang
+    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").withColumn("h", F.xxhash64(F.col("id").cast("string"), "text")).withColumn("slot", F.pmod("h", F.lit(slots)))
+    least = usable.groupBy("lang", "slot").agg(F.min("h").alias("h"))
+    one = Window.partitionBy("lang", "slot").orderBy("h", "id", "text")
+    chosen = usable.join(F.broadcast(least), ["lang", "slot", "h"]).withColumn("k", F.row_number().over(one)).where("k = 1")
+    sample = chosen.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("slot"))).where(F.col("k") <= docs_per_lang)
     rows = sorted((r["lang"], r["k"], r["parts"]) for r in sample.select("lang", "k", some("text").alias("parts")).collect())
     langs = sorted({r[0] for r in rows})
     parts = [(bytes(x), langs.index(lang)) for lang, _, xs in rows for x in xs]
