@@ -5,10 +5,12 @@ byte of its size) is zero under 16 MiB, rows are written without it and the sepa
 ``.warc.gz`` content on any file system that Spark writes, under its commit protocol. Larger members get an empty
 member behind them, whose last byte is zero.
 
-*Reading.* Files are cut into byte ranges. A task looks for gzip's magic in its range and takes a position for a member
-if what inflates there begins like a WARC record. It owns the records that start inside its range, reading
-past the range's end for the last one, and finds each next one where the last member ended. If a member is damaged the
-search goes on behind its start. Workers open files by Arrow's file systems (file, hdfs, s3, gs).
+*Reading.* Files are cut into byte ranges, which are dealt to as many tasks as there are ranges (``MAX_TASKS`` at most). A
+task looks for gzip's magic in its range and takes a position for a member if what inflates there has the whole head of a
+WARC record: the version line, then named fields with a type and a length, then an empty line. It owns the records
+that start inside its range, reading past the range's end for the last one, and finds each next one where the last
+member ended. If a member is damaged, or ends before its record does, the search goes on behind its start. A task holds
+one record at a time. Workers open files by Arrow's file systems (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -27,8 +29,13 @@ from .common import new_path, read_table, written
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 4 << 20
 CHUNK = 256 << 10
+STEP = 16 << 10
+MAX_HEAD = 64 << 10
+MAX_TASKS = 20_000
 EMPTY_MEMBER = (lambda z: z.compress(b"") + z.flush())(zlib.compressobj(1, zlib.DEFLATED, 31))
 _UNSAFE = re.compile(rb"[\x00-\x20\x7f]")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_FIELD = re.compile(rb"[!#-'*+.0-9A-Z^-z|~-]+:[^\r\n]*(?:\r\n[ \t][^\r\n]*)*")
 
 
 def digest(payload: bytes) -> str:
@@ -72,7 +79,7 @@ class _Window:
     """Forward reads of a file, from ``start`` on."""
 
     def __init__(self, file, start: int):
-        self.file, self.base, self.data = file, start, b""
+        self.file, self.base, self.data = file, start, bytearray()
         file.seek(start)
 
     def more(self) -> bool:
@@ -82,30 +89,51 @@ class _Window:
 
     def drop(self, to: int) -> None:
         if to > self.base:
-            self.data, self.base = self.data[to - self.base :], to
+            del self.data[: to - self.base]
+            self.base = to
 
 
-def _inflate(w: _Window, at: int, whole: bool) -> tuple[bytes, int] | None:
-    """The member at ``at`` and where it ends, or just enough to see a record's head; None if it is no record."""
-    z, out, pos = zlib.decompressobj(31), bytearray(), at
+def head_of(out: bytes | bytearray) -> tuple[dict[str, str], int] | None:
+    """The fields of a record's head and where its body begins; None if this is no head or its end is not there yet."""
+    end = out.find(b"\r\n\r\n", 0, MAX_HEAD)
+    if end < 0 or not _VERSION.match(out):
+        return None
+    fields, at = {}, out.index(b"\r\n") + 2
+    while at < end:
+        m = _FIELD.match(out, at, end)
+        if not m or m.end() != end and not out.startswith(b"\r\n", m.end()):
+            return None
+        name, _, value = m[0].partition(b":")
+        fields[name.lower().decode()] = b" ".join(value.split()).decode("utf-8", "replace")
+        at = m.end() + 2
+    return (fields, end + 4) if fields.get("warc-type") and fields.get("content-length", "").isdecimal() else None
+
+
+def _inflate(w: _Window, at: int, whole: bool) -> tuple[dict, bytes, int] | None:
+    """Head, body and end of the member at ``at`` (without ``whole``, as soon as the head is there); None if it is no whole record."""
+    z, out, pos, head = zlib.decompressobj(31), bytearray(), at, None
     try:
         while not z.eof:
             if pos - w.base >= len(w.data) and not w.more():
                 return None
-            part = w.data[pos - w.base :]
+            part = bytes(w.data[pos - w.base : pos - w.base + STEP])
             out += z.decompress(part)
             pos += len(part)
-            if len(out) >= 7 and not out.startswith(b"WARC/1."):
-                return None
-            if not whole and len(out) >= 7:
-                return bytes(out), pos
+            if head is None and len(out) >= 10:
+                head = head_of(out)
+                if head is None and (len(out) >= MAX_HEAD or z.eof or not _VERSION.match(out)):
+                    return None
+            if head and not whole:
+                return head[0], b"", pos
     except zlib.error:
         return None
-    return (bytes(out), pos - len(z.unused_data)) if out.startswith(b"WARC/1.") else None
+    if head is None or len(out) - head[1] < int(head[0]["content-length"]):
+        return None
+    return head[0], bytes(memoryview(out)[head[1] : head[1] + int(head[0]["content-length"])]), pos - len(z.unused_data)
 
 
 def members_in(file, start: int, end: int):
-    """``(offset, record bytes)`` of the records that start in ``[start, end)``."""
+    """``(offset, fields, body)`` of the records that start in ``[start, end)``."""
     w, at, sure = _Window(file, start), start, False
     while at < end:
         w.drop(at)
@@ -125,18 +153,15 @@ def members_in(file, start: int, end: int):
         if got is None:
             at, sure = at + 1, False
             continue
-        yield at, got[0]
-        at, sure = got[1], True
+        yield at, got[0], got[1]
+        at, sure = got[2], True
 
 
-def parse(raw: bytes) -> dict:
-    """Headers and payload of a record."""
-    head, _, body = raw.partition(b"\r\n\r\n")
-    fields = dict((k.strip().lower().decode(), v.strip().decode("utf-8", "replace")) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:]))
-    body = body[: int(fields.get("content-length", len(body)))]
+def payload_of(body: bytes) -> tuple[bytes, int]:
+    """What follows a body's HTTP head, and how long that head says it is."""
     http, _, payload = body.partition(b"\r\n\r\n")
     size = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-    return {"fields": fields, "payload": payload, "payload_bytes": int(size[1]) if size else len(payload)}
+    return payload, int(size[1]) if size else len(payload)
 
 
 def _open(uri: str):
@@ -163,21 +188,23 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
             for uri, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
                 with _open(uri) as file:
-                    for offset, raw in members_in(file, start, end):
-                        r = parse(raw)
-                        f = r["fields"]
+                    for offset, f, body in members_in(file, start, end):
+                        held, size = payload_of(body)
                         kind, told = f.get("warc-type"), (f.get("warc-payload-digest") or "").rpartition(":")[2] or None
-                        if kind == "response" and told != digest(r["payload"]):
+                        if kind == "response" and told != digest(held):
                             told = None
-                        rows.append((uri, offset, kind, f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-refers-to"), told, r["payload_bytes"], r["payload"] if payload else None))
+                        rows.append((uri, offset, kind, f.get("warc-record-id"), f.get("warc-target-uri"), f.get("warc-refers-to"), told, size, held if payload else None))
                         if len(rows) >= 256:
                             yield _rows(rows)
                             rows = []
                 yield _rows(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
-    starts = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))))
-    ranges = starts.select("path", "start", F.least(F.col("start") + range_bytes, "length").alias("end")).repartition("path", "start")
+    cut = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))
+    n = files.agg(F.sum(F.size(cut))).first()[0] or 0
+    starts = files.withColumn("start", F.explode(cut))
+    # A stated number: ranges are tiny rows, and Spark would put them all into one task.
+    ranges = starts.select("path", "start", F.least(F.col("start") + range_bytes, "length").alias("end")).repartition(max(1, min(n, MAX_TASKS)))
     return ranges.mapInArrow(read, READ_SCHEMA)
 
 
