@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, OWN, written
+from .common import LOWER, OWN, new_path, remove, scratch, written
 from .filters import Filter
 
 BUCKET = 4096
@@ -154,12 +154,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return step(e, lambda j, least: j.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
     state = lambda e: e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+    spark, path = edges.sparkSession, None
     edges = written(edges, "links")
     before = state(edges)
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = written(small(written(large(edges), "large-star")), "small-star")
+        last, path = path, new_path(spark, "small-star")
+        with scratch(spark):
+            small(written(large(edges), "large-star")).write.parquet(path)
+        if last:
+            remove(spark, last)
+        edges = spark.read.schema(edges.schema).parquet(path)
         after = state(edges)
         if after == before:
             break
