@@ -144,3 +144,23 @@ def test_queries_on_a_scale_after_another(spark):
     first = queries.op9_decontamination(spark, SF).agg({"n_hit": "sum"}).first()[0]
     queries.op9_decontamination(spark, "/root/testdata/sf0.01").agg({"n_hit": "sum"}).first()
     assert queries.op9_decontamination(spark, SF).agg({"n_hit": "sum"}).first()[0] == first
+
+
+def test_merge_index_in_batches(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from glyphsieve.llm.exact_dedup import Index
+
+    index = Index(spark, 400, "smallest", memtable_rows=8, fanout=3)
+    rows = spark.range(600).select(F.unhex(F.sha2((F.col("id") % 150).cast("string").cast("binary"), 256)).alias("digest"), "id")
+    for k in range(5):
+        index.flush(rows.where(f"id % 5 = {k}"), 120)
+    assert [len(level) for level in index.levels] == [2, 1]
+    want = sorted((hashlib.sha256(str(d).encode()).digest(), d, 4) for d in range(150))
+    assert sorted((bytes(r["digest"]), r["survivor"], r["n"]) for r in index.entries().collect()) == want
+    plan = index._merged(0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert [r["survivor"] for r in index.lookup([want[3][0]]).collect()] == [want[3][1]]
+    index.close()
