@@ -211,7 +211,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(b"\n".join(parts))
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
-    # Documents that miss a filter over those which lose lines pass by the join.
+    # Documents that miss a filter over those which lose lines pass by the join, which is the same one at every size.
     drops = written(drops, "lines-to-drop")
     key = f"{OWN}key"
     marked = Filter(drops.select(F.xxhash64(f"{OWN}id").alias(key)), key).mark(docs.withColumn(key, F.xxhash64(id_col)), key)
@@ -219,7 +219,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.coalesce(F.col(text_col), F.lit(""))
     n_lines = (F.regexp_count(whole, F.lit("\n")) + 1).cast("long").alias(f"{OWN}n_lines")
     sure = sure.select(*[whole.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines, F.lit(0).cast("long").alias(f"{OWN}n_dropped"))
-    joined = asked.join(drops, F.col(id_col).eqNullSafe(F.col(f"{OWN}id")), "left").withColumn(f"{OWN}cut", cut(F.col(text_col), F.col(f"{OWN}keys")))
+    joined = asked.join(drops.hint("merge"), F.col(id_col).eqNullSafe(F.col(f"{OWN}id")), "left").withColumn(f"{OWN}cut", cut(F.col(text_col), F.col(f"{OWN}keys")))
     own = F.col(f"{OWN}cut")
     return sure.unionByName(joined.select(*[own["text"].alias(c) if c == text_col else F.col(c) for c in docs.columns], own["n_lines"].alias(f"{OWN}n_lines"), own["n_dropped"].alias(f"{OWN}n_dropped")))
 
