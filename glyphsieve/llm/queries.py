@@ -87,6 +87,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    # Windows of 200 bytes by their hexadecimal digits, cut out of pieces of 2,000 bytes so that no long text is read once per window.
+    "op5_suffix_dedup": """
+        WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        piece AS (SELECT r, c, substr(h, 2 * c + 1, 4398) AS p FROM (SELECT r, h, unnest(range(0, length(h) // 2, 2000)) AS c FROM b)),
+        win AS (SELECT r, c + i AS k, md5(substr(p, 2 * i + 1, 400)) AS m FROM (SELECT r, c, p, unnest(range(least(2000, greatest(0, length(p) // 2 - 199)))) AS i FROM piece)),
+        hit AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY m) AS n FROM win) WHERE n > 1),
+        run AS (SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS s FROM (SELECT r, k, CASE WHEN k - lag(k) OVER (PARTITION BY r ORDER BY k) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit)),
+        span AS (SELECT r, min(k) AS a, max(k) + 200 AS z FROM run GROUP BY r, s),
+        part AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM span),
+        cut AS (SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS front, max(z) AS z, sum(z - a) AS n_removed, count(*) AS n_spans FROM part JOIN b USING (r) GROUP BY r)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_spans > 0 THEN front || substr(h, 2 * z + 1) ELSE h END)) AS kept_sha256
+        FROM b LEFT JOIN cut USING (r)""",
     "op9_decontamination": rf"""
         WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORD}') AS w FROM documents),
         iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORD}') AS w FROM benchmark),
