@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import fixed
+
 # Code points by kind, in order of priority; a code point is of the first kind that holds it.
 RANGES: dict[str, str] = {
     "tag_chars": "E0001-E007F",
-    "noncharacter": "FDD0-FDEF " + " ".join(f"{p:X}FFFE-{p:X}FFFF" for p in range(17)).replace("0FFF", "FFF"),
+    "noncharacter": "FDD0-FDEF " + " ".join(f"{(p << 16) + 0xFFFE:X}-{(p << 16) + 0xFFFF:X}" for p in range(17)),
     "reserved_ignorable": "2065 FFF0-FFF8 E0000 E0080-E00FF E01F0-E0FFF",
     "variation_selector": "180B-180D 180F FE00-FE0F E0100-E01EF",
     "bidi": "061C 200E-200F 202A-202E 2066-2069",
@@ -28,7 +30,8 @@ RANGES: dict[str, str] = {
     "strip": "00AD 034F 115F-1160 17B4-17B5 2061-2064 206A-206F 3164 FFA0 FFF9-FFFB",
 }
 SPACES = "00A0 1680 2000-200A 202F 205F 3000"
-CONFUSABLES = {**dict(zip("АВЕКМНОРСТХаеорсухі", "ABEKMHOPCTXaeopcyxi", strict=True)), **{chr(c + 0xFEE0): chr(c) for c in [*range(65, 91), *range(97, 123)]}}
+#: Full-width letters stand 0xFEE0 behind the plain ones.
+CONFUSABLES = {**fixed.CYRILLIC_CONFUSABLES, **{chr(c + 0xFEE0): chr(c) for c in [*range(65, 91), *range(97, 123)]}}
 
 
 def _pairs(spec: str) -> list[tuple[int, int]]:
@@ -112,7 +115,7 @@ def fold_confusables(text: Column) -> Column:
 # ---- the full rules
 
 _CJK = _within("3400-4DBF 4E00-9FFF F900-FAFF 20000-323AF")
-_EMOJI = _within("0023 002A 0030-0039 00A9 00AE 203C 2049 2139 2190-25FF 2600-27BF 2934-2935 2B00-2BFF 3030 303D 3297 3299 1F000-1FAFF")
+_EMOJI = _within("0023 002A 0030-0039 00A9 00AE 203C 2049 2122 2139 2190-25FF 2600-27BF 2934-2935 2B00-2BFF 3030 303D 3297 3299 1F000-1FAFF")
 _JAMO = _within("1100-11FF 3131-318E A960-A97C D7B0-D7C6 FFA1-FFDC")
 _ORTHOGRAPHIC = _within("0600-0605 06DD 070F 08E2 110BD 110CD")
 _KEPT_BIDI = _within("061C 200E-200F 2066-2069")
@@ -172,7 +175,7 @@ def _bears_meaning(ch: str, cp: int, base: str | None, before: str | None, after
         return True
     if cp == 0x200D and base and after and _EMOJI(ord(base)) and _EMOJI(ord(after)):
         return True
-    if cp in (0x200C, 0x200D) and (script := _joining(base)) is not None and script == _joining(after):
+    if cp in (0x200C, 0x200D) and (script := _joining(before)) is not None and script == _joining(after):
         return True
     if in_flag or _ORTHOGRAPHIC(cp):
         return True
@@ -208,7 +211,7 @@ def walk(text: str, *, spaces: bool = True, confusables: bool = False, strip_glu
 
 
 def label(ch: str) -> str:
-    return f"U+{ord(ch):04X} {unicodedata.name(ch, 'UNNAMED')} ({unicodedata.category(ch)})"
+    return f"U+{ord(ch):04X} {unicodedata.name(ch, 'UNKNOWN')} ({unicodedata.category(ch)})"
 
 
 def inspect(text: str, aggressive: bool = False, strip_glue: bool = False) -> list[dict]:

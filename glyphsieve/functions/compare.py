@@ -72,5 +72,30 @@ def spread_indices(total: Column, k: Column) -> Column:
     return F.when((total < 1) | (k < 1), F.array().cast("array<int>")).when(k == 1, F.array(F.lit(0))).otherwise(F.array_distinct(F.transform(one, lambda i: F.bround(i * (total - 1) / (F.least(k, total) - 1)).cast("int"))))
 
 
+def frame_plan(total: Column, threshold: float = 0.5, fraction: float = 1.0) -> Column:
+    """``struct<n,indices>``: how many of ``total`` frames leave less than ``threshold`` of them as they were, ``fraction`` at least, and which."""
+    least = F.floor(total * (1 - threshold)) + 1
+    n = F.least(total, F.greatest(least, F.ceil(total * min(1.0, fraction)))).cast("int")
+    return F.struct(n.alias("n"), spread_indices(total, n).alias("indices"))
+
+
+def threshold_of(config: Column) -> Column:
+    """The first number among a JSON configuration's ``threshold`` and ``z_threshold``; texts and booleans are none."""
+    number = lambda k: F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json(config), k, "variant")).rlike("BIGINT|DECIMAL|DOUBLE|FLOAT"), F.try_variant_get(F.try_parse_json(config), k, "double"))
+    return F.coalesce(number("$.threshold"), number("$.z_threshold"))
+
+
+def pixel_verdict(reply: Column) -> Column:
+    """Whether a scorer's JSON reply calls a picture marked: it must be available, and say so or be half sure at least."""
+    v = lambda k, t: F.try_variant_get(F.try_parse_json(reply), k, t)
+    sure = F.when(F.schema_of_variant(v("$.confidence", "variant")).rlike("BIGINT|DECIMAL|DOUBLE|FLOAT"), v("$.confidence", "double"))
+    flag = lambda k: F.coalesce(F.get_json_object(reply, k) == "true", F.lit(False))
+    return flag("$.available") & (flag("$.is_watermarked") | F.coalesce(sure >= 0.5, F.lit(False)))
+
+
+def pitch_factor(semitones: Column) -> Column:
+    return F.pow(F.lit(2.0), semitones / 12.0)
+
+
 def any_of(*tests: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)

@@ -12,6 +12,7 @@ from . import fixed
 HINTS = "(?i)" + "|".join(fixed.AI_META_HINTS[:12])
 C2PA = r"(?i)c2pa|content.?credential"
 JSONLD = fixed.AI_META_NAME + "|" + fixed.JSONLD_EXTRA.removeprefix("(?i)")
+COMMENT = r"(?s)<!--.*?--!?>"
 PRODUCT = "(?i)" + "|".join(re.escape(p) for p in fixed.PRODUCTS)
 
 
@@ -50,7 +51,7 @@ def html_findings(html: Column) -> Column:
     """``struct<findings,has_ai,has_c2pa>`` of a page."""
     tags = _all(html, r"(?i)<meta\b[^>]*>")
     ld = F.filter(_all(html, r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>.*?</script>"""), lambda b: F.regexp_like(b, F.lit(JSONLD)))
-    comments = F.filter(_all(html, r"(?s)<!--.*?-->"), lambda c: F.regexp_like(c, F.lit(fixed.PROVENANCE_COMMENT)))
+    comments = F.filter(_all(html, COMMENT), lambda c: F.regexp_like(c, F.lit(fixed.PROVENANCE_COMMENT)))
     data = _all(html, r"""(?i)\bdata-ai[A-Za-z0-9_-]*\s*=\s*["'][^"']*["']""")
     shown = lambda prefix, x, n: F.concat(F.lit(prefix), F.substring(x, 1, n))
     cms, ai = F.filter(tags, is_cms_meta), F.filter(tags, lambda t: ~is_cms_meta(t) & is_ai_meta(t))
@@ -59,6 +60,16 @@ def html_findings(html: Column) -> Column:
     return F.struct(found.alias("findings"), (F.size(F.concat(ai, ld, comments, data)) > 0).alias("has_ai"), c2pa.alias("has_c2pa"))
 
 
+def html_cleaned(html: Column) -> Column:
+    """``struct<text,removed>``: the page without what ``html_findings`` flags as AI marks, and how many parts went; pictures stay as they are."""
+    tags = F.filter(_all(html, r"(?i)<meta\b[^>]*>"), lambda t: ~is_cms_meta(t) & is_ai_meta(t))
+    ld = F.filter(_all(html, r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>.*?</script>"""), lambda b: F.regexp_like(b, F.lit(JSONLD)))
+    comments = F.filter(_all(html, COMMENT), lambda c: F.regexp_like(c, F.lit(fixed.PROVENANCE_COMMENT)))
+    data = _all(html, r"""(?i)\sdata-ai[A-Za-z0-9_-]*\s*=\s*["'][^"']*["']""")
+    gone = F.concat(tags, ld, comments, data)
+    return F.struct(F.aggregate(gone, html, lambda text, part: F.replace(text, part, F.lit(""))).alias("text"), F.size(gone).alias("removed"))
+
+
 def front_matter(text: Column) -> Column:
     """``array<struct<key,value>>`` of the top-level keys of a ``---`` block."""
     block = F.regexp_extract(text, r"\A---\r?\n((?s:.*?))\r?\n---[ \t]*(?:\r?\n|\z)", 1)
@@ -74,7 +85,7 @@ def markdown_findings(text: Column) -> Column:
     exempt = lambda k: agent & k.isin("model", "tools", "name", "description")
     flagged = F.filter(pairs, lambda p: (~exempt(F.lower(p["key"])) & (F.lower(p["key"]).isin(*fixed.AI_FRONTMATTER_KEYS) | F.regexp_like(p["key"], F.lit(fixed.AI_META_NAME)))) | named_value_is_ai(p["key"], p["value"]))
     prose = F.regexp_replace(text, r"(?ms)^ {0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z)", "")
-    comments = F.filter(_all(prose, r"(?s)<!--.*?-->"), lambda c: F.regexp_like(c, F.lit(fixed.PROVENANCE_COMMENT)))
+    comments = F.filter(_all(prose, COMMENT), lambda c: F.regexp_like(c, F.lit(fixed.PROVENANCE_COMMENT)))
     found = F.concat(F.transform(flagged, lambda p: F.concat(F.lit("frontmatter: "), p["key"], F.lit("="), F.substring(p["value"], 1, 80))), F.transform(comments, lambda c: F.concat(F.lit("comment: "), F.substring(c, 1, 120))))
     return F.struct(found.alias("findings"), (F.size(found) > 0).alias("has_ai"), F.exists(found, lambda f: F.regexp_like(f, F.lit("(?i)c2pa|content"))).alias("has_c2pa"))
 

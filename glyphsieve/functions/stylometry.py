@@ -51,13 +51,21 @@ def counted(text: Column, low: Column, pattern: str) -> Column:
     return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in anchors(plain)]), F.regexp_count(text, F.lit(pattern))).otherwise(0)
 
 
+def found(text: Column, low: Column, pattern: str) -> Column:
+    """The matches of a phrase, null if none of its literals occurs."""
+    plain = pattern.removeprefix("(?i)").replace(r"\p{L}\p{N}_", r"\w")
+    return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in anchors(plain)]), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+
 def phrase_hits(text: Column) -> Column:
     """``array<struct<phrase,weight,count,samples>>`` of the phrases that occur."""
 
+    def row(label: str, weight: float, matches: Column) -> Column:
+        held = lambda m: F.struct(F.lit(label).alias("phrase"), F.lit(float(weight)).alias("weight"), F.coalesce(F.size(m), F.lit(0)).cast("long").alias("count"), F.slice(m, 1, 3).alias("samples"))
+        return tokens.let(matches, lambda m: held(m))
+
     def rows(t: Column) -> Column:
-        n = lambda p: counted(t["text"], t["low"], p).cast("long")
-        samples = lambda p: F.when(n(p) > 0, F.slice(F.regexp_extract_all(t["text"], F.lit(p), F.lit(0)), 1, 3))
-        return F.array(*[F.struct(F.lit(label).alias("phrase"), F.lit(float(w)).alias("weight"), n(p).alias("count"), samples(p).alias("samples")) for label, w, p in PHRASES])
+        return F.array(*[row(label, weight, found(t["text"], t["low"], pattern)) for label, weight, pattern in PHRASES])
 
     return F.filter(tokens.let(F.struct(text.alias("text"), F.lower(text).alias("low")), rows), lambda r: r["count"] > 0)
 
@@ -74,9 +82,9 @@ def phrase_weight(text: Column) -> Column:
     return tokens.let(F.struct(text.alias("text"), F.lower(text).alias("low")), total)
 
 
-def sentence_lengths(text: Column) -> Column:
+def sentence_lengths(sentences: Column) -> Column:
     """Words of each sentence that has any."""
-    return F.filter(F.transform(tokens.sentences(text), tokens.word_count), lambda n: n > 0)
+    return F.filter(F.transform(sentences, tokens.word_count), lambda n: n > 0)
 
 
 def _mean(numbers: Column) -> Column:
@@ -141,8 +149,8 @@ def with_stylometry(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Texts of fewer than 30 words have a null score (``uncalibrated``) and phrase density 0; a null text counts as empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("__w", tokens.words(text)).withColumn("__n", sentence_lengths(text)).withColumn("__c", cadence(F.col("__n")))
-    base = base.withColumn("n_words", F.size("__w").cast("long")).withColumn("n_sentences", F.size(tokens.sentences(text)).cast("long"))
+    base = docs.withColumn("__w", tokens.words(text)).withColumn("__s", tokens.sentences(text)).withColumn("__c", tokens.let(sentence_lengths(F.col("__s")), cadence))
+    base = base.withColumn("n_words", F.size("__w").cast("long")).withColumn("n_sentences", F.size("__s").cast("long"))
     enough = F.col("n_words") >= LEAST_WORDS
     base = base.withColumn("mattr", mattr("__w")).withColumn("phrase_density", F.when(enough, phrase_weight(text) / (F.col("n_words") / 100)).otherwise(0.0))
     cv, density = F.col("__c.cv"), F.col("phrase_density")
@@ -153,4 +161,9 @@ def with_stylometry(docs: DataFrame, text_col: str = "text") -> DataFrame:
     damped = raw * F.when(F.col("n_words") < FULL_WORDS, 0.4 + 0.6 * (F.col("n_words") - LEAST_WORDS) / (FULL_WORDS - LEAST_WORDS)).otherwise(1.0)
     score = F.when(enough, F.least(F.lit(1.0), F.greatest(F.lit(0.0), damped)))
     out = base.withColumn("mean_sentence", F.col("__c.mean")).withColumn("sentence_cv", cv).withColumn("score", score)
-    return out.withColumn("tier", tier(F.col("score"))).withColumn("confidence", confidence(F.col("score"))).drop("__w", "__n", "__c")
+    return out.withColumn("tier", tier(F.col("score"))).withColumn("confidence", confidence(F.col("score"))).drop("__w", "__s", "__c")
+
+
+def human_likeness(score: Column) -> Column:
+    """What is left of 1 by the style's score; null for texts too short to score. Other scorers may take the place of ``score``."""
+    return 1.0 - score

@@ -21,22 +21,30 @@ def counts(docs: DataFrame, tokens: Column, context: int = 1) -> DataFrame:
     return pairs(docs, tokens, context).groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _all_counts(docs: DataFrame, tokens: Column, context: int) -> DataFrame:
+    """``(ctx, tok, n)`` with a null context for tokens at the beginning, so that every token is counted once."""
+    rows = docs.select(tokens.alias("w")).where(F.size("w") > 0)
+    cut = rows.select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k"))
+    ctx = F.when(F.col("k") > context, F.array_join(F.slice("w", F.greatest(F.col("k") - context, F.lit(1)), F.lit(context)), " "))
+    return cut.groupBy(ctx.alias("ctx"), F.element_at("w", F.col("k")).alias("tok")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def log_ratios(marked: DataFrame, base: DataFrame, tokens: Column, context: int = 1, alpha: float = ALPHA, min_context: int = 2) -> DataFrame:
     """``(ctx, tok, n, score)``: smoothed log probability in ``marked`` less that in ``base``.
 
-    Contexts that ``marked`` has less than ``min_context`` times are left out. Where ``base`` never has a context, its unigrams stand in.
+    Contexts that ``marked`` has less than ``min_context`` times are left out. Where ``base`` never has a context, its unigrams stand in. Each
+    corpus is split into tokens once; words, contexts and the vocabulary come from the counted pairs, whose exchange is reused.
     """
-    m, b = counts(marked, tokens, context), counts(base, tokens, context)
-    spark_words = lambda d: d.select(F.explode(tokens).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("u"))
-    unigrams = spark_words(base)
-    sizes = marked.select(F.explode(tokens).alias("tok")).select("tok").unionByName(base.select(F.explode(tokens).alias("tok"))).agg(F.count_distinct("tok").alias("v"))
-    total = unigrams.agg(F.coalesce(F.sum("u"), F.lit(0)).alias("all"))
+    m_all, b_all = _all_counts(marked, tokens, context), _all_counts(base, tokens, context)
+    m, b = m_all.where("ctx IS NOT NULL"), b_all.where("ctx IS NOT NULL")
+    unigrams = b_all.groupBy("tok").agg(F.sum("n").alias("u"))
     m_ctx = m.groupBy("ctx").agg(F.sum("n").alias("m_ctx")).where(F.col("m_ctx") >= min_context)
     b_ctx = b.groupBy("ctx").agg(F.sum("n").alias("b_ctx"))
-    v, every = sizes.first()["v"], total.first()["all"]  # two numbers
-    rows = m.join(m_ctx, "ctx").join(b_ctx, "ctx", "left").join(b.withColumnRenamed("n", "b_n"), ["ctx", "tok"], "left").join(unigrams, "tok", "left")
-    smooth = lambda n, of: (F.coalesce(n, F.lit(0)) + alpha) / (of + alpha * v)
-    p, q = smooth(F.col("n"), F.col("m_ctx")), F.when(F.col("b_ctx").isNotNull(), smooth(F.col("b_n"), F.col("b_ctx"))).otherwise(smooth(F.col("u"), F.lit(every)))
+    vocabulary = m_all.select("tok", F.lit(0).cast("long").alias("n")).unionByName(b_all.select("tok", "n")).groupBy("tok").agg(F.sum("n").alias("n"))
+    sizes = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("every"))  # one row
+    rows = m.join(m_ctx, "ctx").join(b_ctx, "ctx", "left").join(b.withColumnRenamed("n", "b_n"), ["ctx", "tok"], "left").join(unigrams, "tok", "left").join(F.broadcast(sizes))
+    smooth = lambda n, of: (F.coalesce(n, F.lit(0)) + alpha) / (of + alpha * F.col("v"))
+    p, q = smooth(F.col("n"), F.col("m_ctx")), F.when(F.col("b_ctx").isNotNull(), smooth(F.col("b_n"), F.col("b_ctx"))).otherwise(smooth(F.col("u"), F.col("every")))
     return rows.select("ctx", "tok", "n", F.log((p + EPSILON) / (q + EPSILON)).alias("score"))
 
 

@@ -39,7 +39,7 @@ _LD = """regexp_extract_all(html, '(?is)<script\\b[^>]*\\btype\\s*=\\s*["'']?app
 #: A row per finding ``(url, o, i, finding)`` in the order in which they are listed.
 _FINDINGS_SQL = f"""{MARKED_SQL},
     tag AS (SELECT url, t, i FROM (SELECT url, unnest(tags) AS t, unnest(range(len(tags))) AS i FROM (SELECT url, regexp_extract_all(html, '(?i)<meta\\b[^>]*>') AS tags FROM marked))),
-    ld AS (SELECT url, unnest({_LD}) AS b FROM marked), com AS (SELECT url, unnest(c) AS c, unnest(range(len(c))) AS i FROM (SELECT url, regexp_extract_all(html, '(?s)<!--.*?-->') AS c FROM marked)),
+    ld AS (SELECT url, unnest({_LD}) AS b FROM marked), com AS (SELECT url, unnest(c) AS c, unnest(range(len(c))) AS i FROM (SELECT url, regexp_extract_all(html, '(?s)<!--.*?--!?>') AS c FROM marked)),
     att AS (SELECT url, unnest(regexp_extract_all(html, '(?i)\\bdata-ai[A-Za-z0-9_-]*\\s*=\\s*["''][^"'']*["'']')) AS a FROM marked),
     found AS (SELECT url, 0 AS o, i, 'info: cms generator: ' || t[1:120] AS finding FROM tag WHERE {_CMS} UNION ALL SELECT url, 1, i, 'meta: ' || t[1:120] FROM tag WHERE {_AI}
         UNION ALL SELECT url, 2, 0, 'json-ld provenance-like block' FROM ld WHERE regexp_matches(b, {quoted(markup.JSONLD)}) UNION ALL SELECT url, 3, i, 'comment: ' || c[1:120] FROM com WHERE regexp_matches(c, {quoted(fixed.PROVENANCE_COMMENT)})
@@ -107,44 +107,64 @@ def evidence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("doc_id", e.alias("e")).select("doc_id", "e.*")
 
 
-@query("""SELECT url, coalesce(nullif(nullif(regexp_extract(lower(url), '\\.(png|jpe?g|pdf)(?:[?#].*)?$', 1), 'jpg'), ''), CASE WHEN regexp_matches(lower(url), '\\.jpg([?#].*)?$') THEN 'jpeg' ELSE 'html' END) AS kind,
-    lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) || CASE WHEN url LIKE 'https:%' THEN ':443' ELSE ':80' END AS origin, false AS loopback FROM pages""")
+#: Hosts that take the place of a page's own, by ``page_id % 6``; the last two are no loopback.
+_HOSTS = ["localhost", "127.0.0.1:8080", "[::1]", "localhost.example.org", "127.0.0.1.example.org"]
+
+
+@query(f"""WITH h AS (SELECT page_id, CASE WHEN page_id % 6 < 5 THEN 'http://' || [{', '.join(map(quoted, _HOSTS))}][page_id % 6 + 1] || '/' || page_id || '.PNG?q=1' ELSE url END AS url FROM pages)
+    SELECT page_id, CASE WHEN page_id % 6 < 5 THEN 'png' ELSE coalesce(nullif(nullif(regexp_extract(lower(url), '\\.(png|jpe?g|pdf)(?:[?#].*)?$', 1), 'jpg'), ''), CASE WHEN regexp_matches(lower(url), '\\.jpg([?#].*)?$') THEN 'jpeg' ELSE 'html' END) END AS kind,
+    CASE page_id % 6 WHEN 1 THEN 'http://127.0.0.1:8080' WHEN 2 THEN NULL ELSE lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) || CASE WHEN url LIKE 'https:%' THEN ':443' ELSE ':80' END END AS origin, page_id % 6 < 3 AS loopback FROM h""")
 def url_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+    planted_url = F.concat(F.lit("http://"), F.element_at(F.array(*map(F.lit, _HOSTS)), F.least(F.lit(5), p % 6 + 1).cast("int")), F.lit("/"), p.cast("string"), F.lit(".PNG?q=1"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.when(p % 6 < 5, planted_url).otherwise(F.col("url")).alias("url"), "html")
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("url", routing.url_kind(u, F.col("html").cast("binary"), F.lit(None).cast("string")).alias("kind"), routing.url_origin(u).alias("origin"), routing.is_loopback(u).alias("loopback"))
+    return rows.select("page_id", routing.url_kind(u, F.col("html").cast("binary"), F.lit(None).cast("string")).alias("kind"), F.when(p % 6 != 2, routing.url_origin(u)).alias("origin"), routing.is_loopback(u).alias("loopback"))
 
 
-#: Name, first bytes, and what they are: image format, audio or video format, and whether they are no text.
-_HEADS = [
-    ("png", "89504E470D0A1A0A00", "png", None, True), ("jpeg", "FFD8FFE000104A46", "jpeg", None, True), ("gif", "474946383961", "gif", None, True), ("bmp", "424D0000", "bmp", None, True), ("tiff", "49492A0008000000", "tiff", None, True),
-    ("webp", "524946460000000057454250", "webp", None, True), ("avif", "000000186674797061766966", "avif", "mp4", True), ("heic", "000000186674797068656963", "heic", "mp4", True), ("mp4", "000000186674797069736F6D", None, "mp4", True),
-    ("wav", "524946460000000057415645", None, "wav", True), ("flac", "664C6143", None, "flac", False), ("mp3", "FFFB9064", None, "mp3", False), ("text", "68656C6C6F", None, None, False),
+#: Front matter by ``doc_id % 8``, and what is said of it.
+_FRONT = [
+    ("generator: Midjourney", "frontmatter: generator=Midjourney"), ("title: Midjourney", ""), ("author: made with love", "frontmatter: author=made with love"), ("created_with: a pen", "frontmatter: created_with=a pen"),
+    ("name: x\ndescription: y\ntools: z\nmodel: m", ""), ("name: x\nmodel: m", "frontmatter: model=m"), ("content-credentials: yes", "frontmatter: content-credentials=yes"), ("note: see C2PA", "frontmatter: note=see C2PA"),
 ]
-_value = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else quoted(x)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(_value(x) for x in (row[0], *row[2:]))})" for row in _HEADS) + ") AS v(name, image, av, is_binary)")
-def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(row[0], bytearray.fromhex(row[1])) for row in _HEADS], "name string, content binary")
-    c = F.col("content")
-    return rows.select("name", routing.image_format(c).alias("image"), routing.av_format(c).alias("av"), routing.binary_reason(c).isNotNull().alias("is_binary"))
+_SAY = "<!-- ChatGPT wrote it -->"
 
 
-@query(f"""WITH m AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'generator' WHEN 1 THEN 'title' ELSE 'model' END AS k, CASE doc_id % 2 WHEN 0 THEN 'Midjourney' ELSE 'a note' END AS v FROM documents)
-    SELECT doc_id, k IN ('generator', 'model') AS has_ai, CASE WHEN k IN ('generator', 'model') THEN 'frontmatter: ' || k || '=' || v END AS finding FROM m""")
+@query(f"""WITH m AS (SELECT doc_id, [{', '.join(quoted(x) for _, x in _FRONT)}][doc_id % 8 + 1] AS f, CASE doc_id % 3 WHEN 0 THEN {quoted("comment: " + _SAY)} ELSE '' END AS c FROM documents)
+    SELECT doc_id, concat_ws('|', nullif(f, ''), nullif(c, '')) AS findings, f <> '' OR c <> '' AS has_ai, regexp_matches(lower(f), 'c2pa|content') AS has_c2pa FROM m""")
 def markdown_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, values, agents' definitions, and comments in prose, in code and none at all."""
     d = F.col("doc_id")
-    head = F.concat(F.lit("---\n"), F.when(d % 3 == 0, "generator").when(d % 3 == 1, "title").otherwise("model"), F.lit(": "), F.when(d % 2 == 0, "Midjourney").otherwise("a note"), F.lit("\n---\n"), F.coalesce("text", F.lit("")))
-    m = table(spark, sf_dir, "documents").select("doc_id", markup.markdown_findings(head).alias("m"))
-    return m.select("doc_id", "m.has_ai", F.try_element_at("m.findings", F.lit(1)).alias("finding"))
+    head = F.element_at(F.array(*[F.lit(x) for x, _ in _FRONT]), (d % 8 + 1).cast("int"))
+    said = F.when(d % 3 == 0, f"a {_SAY} b").when(d % 3 == 1, f"```\n{_SAY}\n```").otherwise("<!-- an ordinary one -->")
+    text = F.concat(F.lit("---\n"), head, F.lit("\n---\n"), said, F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("<!--"), F.lit("")))
+    m = table(spark, sf_dir, "documents").select("doc_id", markup.markdown_findings(text).alias("m"))
+    return m.select("doc_id", F.array_join("m.findings", "|").alias("findings"), "m.has_ai", "m.has_c2pa")
 
 
-@query("SELECT page_id, 'urlset' AS kind, len(['a']) AS n_urls, url AS first_url FROM pages")
+@query("""SELECT page_id // 7 AS site, CASE WHEN page_id // 7 % 3 = 1 THEN 'sitemapindex' WHEN page_id // 7 % 3 = 0 THEN 'urlset' END AS kind, CASE WHEN page_id // 7 % 3 < 2 THEN count(*) END AS n_urls, CASE WHEN page_id // 7 % 3 < 2 THEN string_agg(url, ' ' ORDER BY page_id) END AS urls FROM pages GROUP BY page_id // 7""")
 def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sitemap of each page's address, read back."""
-    xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> '), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url></urlset>"))
-    s = table(spark, sf_dir, "pages").select("page_id", files.sitemap(xml).alias("s"))
-    return s.select("page_id", "s.kind", F.size("s.urls").cast("long").alias("n_urls"), F.element_at("s.urls", 1).alias("first_url"))
+    """A sitemap, an index or a document with a DTD per seven pages, read back."""
+    site = F.floor(F.col("page_id") / 7).alias("site")
+    entry = F.concat(F.lit("<url><loc>\n "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    rows = table(spark, sf_dir, "pages").groupBy(site).agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e"))))["e"], "").alias("entries"))
+    root = F.when(F.col("site") % 3 == 1, "sitemapindex").otherwise("urlset")
+    xml = F.concat(F.lit('<?xml version="1.0"?>'), F.when(F.col("site") % 3 == 2, '<!DOCTYPE a [<!ENTITY b "c">]>').otherwise(""), F.lit("<"), root, F.lit(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.col("entries"), F.lit("</"), root, F.lit(">"))
+    s = rows.select("site", files.sitemap(xml).alias("s"))
+    return s.select("site", "s.kind", F.size("s.urls").cast("long").alias("n_urls"), F.array_join("s.urls", " ").alias("urls"))
+
+
+@query("""WITH p AS (SELECT page_id, 'http://site.example/' || page_id AS u FROM pages) SELECT CASE WHEN page_id % 5 = 0 THEN 'http://site.example/a' || page_id ELSE u END AS url FROM p WHERE page_id % 4 <> 3""")
+def crawled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of sitemaps that list each page twice, an index that lists itself, and addresses of other sites."""
+    p = F.col("page_id")
+    own = F.when(p % 4 == 3, F.concat(F.lit("http://other.example/"), p.cast("string"))).when(p % 5 == 0, F.concat(F.lit("http://site.example/a"), p.cast("string"))).otherwise(F.concat(F.lit("http://site.example/"), p.cast("string")))
+    entry = F.concat(F.lit("<url><loc>"), own, F.lit("</loc></url>"))
+    maps = table(spark, sf_dir, "pages").groupBy((p % 6).alias("k")).agg(F.array_join(F.concat(F.collect_list(entry), F.collect_list(entry)), "").alias("e"))
+    maps = maps.select(F.concat(F.lit("http://site.example/map"), F.col("k").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), "e", F.lit("</urlset>")).alias("xml"))
+    listed = "".join(f"<sitemap><loc>http://site.example/map{k}.xml</loc></sitemap>" for k in range(6))
+    tops = [("http://site.example/sitemap.xml", "<sitemapindex><sitemap><loc>http://site.example/sub.xml</loc></sitemap></sitemapindex>"), ("http://site.example/sub.xml", f"<sitemapindex>{listed}<sitemap><loc>http://site.example/sub.xml</loc></sitemap></sitemapindex>")]
+    return files.collect_urls(spark.createDataFrame(tops, "url string, xml string").unionByName(maps), "http://site.example/sitemap.xml")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsieve.functions import compare, tokens
-from glyphsieve.operators import evaluation
+from glyphsieve.operators import evaluation, reports
 
-from .common import WORD_SQL, rounded, table
+from .common import WORD_SQL, quoted, rounded, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -123,3 +123,82 @@ def semantic_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     pair = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("other_label")), "vec_id")
     return pair.select("vec_id", rounded(compare.cosine_distance(F.col("embedding"), F.col("other"))).alias("divergence"), (F.col("label") == F.col("other_label")).alias("same_label"))
+
+
+_SEARCH_SQL = f"""n AS (SELECT doc_id, {_N_SQL} AS n FROM documents),
+    t AS (SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN n % 4 > 0 END AS cleared, (n % 10) / 10.0::DOUBLE AS level, (n % 37) / 37.0::DOUBLE AS semantic_divergence, (n % 41) / 41.0::DOUBLE AS lexical_divergence, (n % 7) / 7.0::DOUBLE AS margin, CASE WHEN doc_id % 9 > 0 THEN 3 ELSE 0 END AS attempts,
+        CASE WHEN doc_id % 9 = 0 THEN ['reason ' || (doc_id % 2)] WHEN doc_id % 10 = 1 THEN ['identical watermarked generation of ' || doc_id] ELSE [] END AS notes FROM n)"""
+
+
+def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, d = F.col("n"), F.col("doc_id")
+    of = lambda k, by: F.pmod(n, F.lit(k)) / float(by)
+    base = table(spark, sf_dir, "documents").select("doc_id", tokens.word_count(F.coalesce("text", F.lit(""))).alias("n"))
+    notes = F.when(d % 9 == 0, F.array(F.concat(F.lit("reason "), (d % 2).cast("string")))).when(d % 10 == 1, F.array(F.concat(F.lit("identical watermarked generation of "), d.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return base.select("doc_id", F.when(d % 9 > 0, n % 4 > 0).alias("cleared"), of(10, 10).alias("level"), of(37, 37).alias("semantic_divergence"), of(41, 41).alias("lexical_divergence"), of(7, 7).alias("margin"), F.when(d % 9 > 0, 3).otherwise(0).alias("attempts"), notes.alias("notes"))
+
+
+@query(f"""WITH {_SEARCH_SQL} SELECT count(cleared) AS n_samples, count(*) FILTER (WHERE cleared) AS n_cleared, count(*) FILTER (WHERE cleared IS NULL AND attempts = 0) AS n_excluded, count(*) FILTER (WHERE len(notes) > 0 AND notes[1] LIKE 'identical watermarked generation%') AS n_duplicate_generations,
+    round(avg(level) FILTER (WHERE cleared), 4) AS mean_min_level, round(median(level) FILTER (WHERE cleared), 4) AS median_min_level, round(avg(semantic_divergence) FILTER (WHERE cleared), 4) AS mean_min_semantic_divergence, round(median(semantic_divergence) FILTER (WHERE cleared), 4) AS median_min_semantic_divergence,
+    round(avg(lexical_divergence) FILTER (WHERE cleared), 4) AS mean_min_lexical_divergence, round(avg(margin) FILTER (WHERE cleared), 4) AS mean_min_margin, round(count(*) FILTER (WHERE cleared) / count(cleared), 4) AS clear_rate FROM t""")
+def minimal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.minimal_summary(_search(spark, sf_dir))
+    return out.withColumns({c: rounded(F.col(c), 4) for c in out.columns if c.startswith(("mean", "median", "clear"))})
+
+
+@query(f"WITH {_SEARCH_SQL} SELECT reason, count(*) AS n FROM (SELECT unnest(notes) AS reason FROM t WHERE cleared IS NULL AND attempts = 0) GROUP BY reason")
+def excluded_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.excluded_reasons(_search(spark, sf_dir))
+
+
+_VARIANTS = [("control", "control"), ("layer-a", "layer-a"), ("rewrite-0.5", "rewrite"), ("restamp", "restamp")]
+
+
+@query(f"""WITH v(variant, kind) AS (VALUES {', '.join(f"('{v}', '{k}')" for v, k in _VARIANTS)}), s AS (SELECT doc_id, CASE WHEN length(trim(coalesce(text, ''))) < 50 THEN 'too short' WHEN doc_id % 8 = 0 THEN 'not detected' END AS reason FROM documents)
+    SELECT doc_id, variant, kind, coalesce(reason, '') AS note FROM s, v""")
+def variant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts and those that a gate doesn't pass stay in the table, excluded."""
+    short = F.length(F.trim(F.coalesce("text", F.lit("")))) < 50
+    samples = table(spark, sf_dir, "documents").select("doc_id", F.when(short, "too short").when(F.col("doc_id") % 8 == 0, "not detected").alias("excluded_reason"))
+    return evaluation.variant_rows(samples, _VARIANTS).select("doc_id", "variant", "kind", F.array_join("notes", "; ").alias("note"))
+
+
+@query(f"""WITH {_ROWS_SQL} SELECT variant AS strategy, count(*) AS n, round(avg(cleared::INT), 6) AS clear_rate, round(avg((cleared AND margin >= 0.1)::INT), 6) AS robust_clear_rate, round(avg(score_before), 6) AS sem_div, round(avg(score_after), 6) AS human_like
+    FROM r WHERE before_pos AND score_after IS NOT NULL GROUP BY variant""")
+def strategy_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).withColumns({"strategy": F.col("variant"), "robust_cleared": F.col("cleared") & (F.col("margin") >= 0.1), "sem_div": F.col("score_before"), "human_like": F.col("score_after")})
+    out = evaluation.strategy_axes(rows)
+    return out.withColumns({c: rounded(F.col(c)) for c in ("clear_rate", "robust_clear_rate", "sem_div", "human_like")})
+
+
+@query(f"""WITH {_ROWS_SQL}, p AS (SELECT doc_id, score_after AS s, CASE doc_id % 3 WHEN 0 THEN 1e-6 WHEN 1 THEN 0.5 END::DOUBLE AS th, CASE WHEN doc_id % 11 <> 0 THEN score_after >= 0.5 END AS v FROM r), m AS (SELECT *, th - s AS raw, CASE WHEN NOT (NOT v AND th - s < 0) THEN th - s END AS margin FROM p)
+    SELECT doc_id, CASE WHEN v IS NULL THEN NULL WHEN v THEN false WHEN margin IS NULL OR margin >= 0.2 THEN true END AS passed, round(margin, 4) AS margin FROM m""")
+def candidate_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A p-value as threshold for a third of the rows, none for another."""
+    d = F.col("doc_id")
+    threshold = F.when(d % 3 == 0, 1e-6).when(d % 3 == 1, 0.5)
+    verdict = F.when(d % 11 != 0, F.col("score_after") >= 0.5)
+    return _rows(spark, sf_dir).select("doc_id", evaluation.candidate_pass(verdict, F.col("score_after"), threshold, 0.2).alias("c")).select("doc_id", "c.*")
+
+
+@query(f"""WITH {_ROWS_SQL}, g AS (SELECT source, doc_id, length(coalesce(text, '')) AS n, max(length(coalesce(text, ''))) OVER (PARTITION BY source) AS longest FROM documents),
+    c AS (SELECT source, doc_id, (n % 100) / 100.0::DOUBLE - CASE WHEN longest > 0 AND (n / longest > 2 OR n / longest < 0.5) THEN 0.15::DOUBLE ELSE 0 END AS score FROM g)
+    SELECT source, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, doc_id) AS k FROM c) WHERE k = 1""")
+def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's texts as rewrites of its longest one; the score is made from lengths."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    longest = docs.groupBy(F.col("source").alias("of")).agg(F.max(F.length("text")).alias("longest"))
+    both = docs.join(longest, docs["source"].eqNullSafe(longest["of"])).withColumn("original", F.repeat(F.lit("x"), F.col("longest")))
+    divergence = F.round(F.pmod(F.length("text"), F.lit(100)) / 100.0, 9)
+    out = evaluation.select_candidate(both, ["source"], "original", "text", "doc_id", divergence)
+    return out.select("source", "doc_id", rounded(F.col("score")).alias("score"))
+
+
+@query(f"""WITH {_ROWS_SQL}, a AS (SELECT variant, count(*) AS n, avg(score_before) / 3 AS b, avg(score_after) FILTER (WHERE variant <> 'v2') / 3 AS m, bool_or(noop) AS noop FROM r GROUP BY variant)
+    SELECT '| ' || variant || ' | ' || n || ' | ' || format('{{:.4f}}', b) || ' | ' || coalesce(format('{{:.4f}}', m), '—') || ' |' AS markdown, variant || ',' || n || ',' || noop::INT || ',' || CASE WHEN m IS NULL THEN '' ELSE {quoted('"a, ""b""' + '"')} END AS csv FROM a""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A variant table's lines, with a missing value and a text that needs quotes."""
+    a = _rows(spark, sf_dir).groupBy("variant").agg(F.count(F.lit(1)).alias("n"), (F.avg("score_before") / 3).alias("b"), (F.avg(F.when(F.col("variant") != "v2", F.col("score_after"))) / 3).alias("m"), F.bool_or("noop").alias("noop"))
+    a = a.withColumn("note", F.when(F.col("m").isNotNull(), 'a, "b"'))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[reports.markdown_value(a, c) for c in ("variant", "n", "b", "m")]), F.lit(" |"))
+    return a.select(line.alias("markdown"), F.concat_ws(",", *[reports.csv_cell(a, c) for c in ("variant", "n", "noop", "note")]).alias("csv"))

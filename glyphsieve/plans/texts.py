@@ -63,7 +63,7 @@ def word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH k AS (SELECT doc_id, list_filter(list_transform({sentences_sql()}, lambda x: len({words_sql("x")})), lambda k: k > 0) AS k FROM documents)
     SELECT doc_id, len(k) AS n_sentences, round(coalesce(list_avg(k), 0), 6) AS mean, round(CASE WHEN len(k) > 1 THEN list_aggregate(k, 'stddev_samp') ELSE 0 END, 6) AS deviation, round(CASE WHEN len(k) > 1 THEN list_aggregate(k, 'stddev_samp') / list_avg(k) END, 6) AS cv FROM k""")
 def burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "documents").select("doc_id", stylometry.sentence_lengths(F.coalesce("text", F.lit(""))).alias("k")).withColumn("c", stylometry.cadence(F.col("k")))
+    k = table(spark, sf_dir, "documents").select("doc_id", stylometry.sentence_lengths(tokens.sentences(F.coalesce("text", F.lit("")))).alias("k")).withColumn("c", stylometry.cadence(F.col("k")))
     return k.select("doc_id", F.size("k").cast("long").alias("n_sentences"), rounded(F.col("c.mean")).alias("mean"), rounded(F.col("c.deviation")).alias("deviation"), rounded(F.col("c.cv")).alias("cv"))
 
 

@@ -32,6 +32,19 @@ def json_lines(spark: SparkSession, path: str, field: str = "text") -> DataFrame
     return lines.select(F.coalesce(F.get_json_object("value", f"$.{field}"), F.when(~F.trim("value").startswith("{"), F.col("value")), F.col("value")).alias("text"))
 
 
+def stats_json(log: Column) -> Column:
+    """The JSON object that ends a program's messages, from its first brace; null if it is none."""
+    at = F.instr(log, "{")
+    text = F.when(at > 0, F.substring(log, at, F.length(log)))
+    return F.when(F.try_parse_json(text).isNotNull(), text)
+
+
+def rows_pages(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """``(row)``: the rows of paged JSON replies ``{"rows": [{"row": {...}}, ...]}``, as JSON."""
+    cells = F.from_json(F.get_json_object(reply, "$.rows"), "array<struct<row:string>>")
+    return replies.select(F.explode(cells).alias("r")).select(F.col("r.row").alias("row"))
+
+
 def sitemap(xml: Column) -> Column:
     """``struct<kind,urls>`` of a sitemap's text; null for documents with a DTD or of another kind."""
     root = F.regexp_extract(xml, r"<(?:[A-Za-z0-9_]+:)?(urlset|sitemapindex)\b", 1)
@@ -40,6 +53,28 @@ def sitemap(xml: Column) -> Column:
     return F.when(safe & (root != ""), F.struct(root.alias("kind"), locs.alias("urls")))
 
 
+def collect_urls(files: DataFrame, start: str, limit: int | None = None, depth: int = 8) -> DataFrame:
+    """``(url)``: the addresses that the sitemaps below ``start`` list, each once, of its origin only.
+
+    ``files`` are fetched sitemaps ``(url, xml)``. Indexes are followed level by level, ``depth`` of them at most, through the files at hand; a
+    sitemap is read once however often it is listed. ``limit`` is a crawl's bound on addresses, taken in their order.
+    """
+    read = files.withColumn("s", sitemap(F.col("xml"))).where("s IS NOT NULL").select(F.col("url").alias("at"), "s.kind", "s.urls")
+    home = routing.url_origin(F.lit(start))
+    seen = files.sparkSession.createDataFrame([(start,)], "at string")
+    level, found = seen, None
+    for _ in range(depth):
+        here = level.join(read, "at").select("kind", F.explode("urls").alias("url")).where(routing.url_origin(F.col("url")) == home)
+        pages = here.where("kind = 'urlset'").select("url")
+        found = pages if found is None else found.unionByName(pages)
+        level = here.where("kind = 'sitemapindex'").select(F.col("url").alias("at")).distinct().join(seen, "at", "left_anti")
+        if not level.take(1):
+            break
+        seen = seen.unionByName(level)
+    urls = found.distinct()
+    return urls.orderBy("url").limit(limit) if limit else urls
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """JSON lines at a new path; an existing one is never overwritten."""
     report.write.mode("errorifexists").json(path)

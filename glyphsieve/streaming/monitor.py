@@ -12,8 +12,10 @@ from glyphsieve.operators import audit
 def landing(spark: SparkSession, root: str) -> DataFrame:
     """New files below ``root`` as a stream of text audit items; files of other kinds are unknown items without findings."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(root)
-    readable = files.where(routing.binary_reason(F.col("content")).isNull()).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
-    return audit.with_actionable(audit.text_items(readable, F.col("path")))
+    reason = routing.binary_reason(F.col("content"))
+    texts = audit.text_items(files.withColumn("text", F.when(reason.isNull(), F.make_valid_utf8(F.col("content").cast("string")))).withColumn("foreign", reason.isNotNull()), F.struct("path", "foreign"))
+    named = texts.withColumn("kind", F.when(F.col("path.foreign"), "unknown").otherwise(F.col("kind"))).withColumn("path", F.col("path.path"))
+    return audit.with_actionable(named)
 
 
 def rates(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:

@@ -106,4 +106,6 @@ def test_sources_and_stream(spark, tmp_path):
     assert [r["path"].rsplit("/", 1)[1] for r in read.collect()] == ["a.txt"] and skipped.count() == 1
     monitor.run_once(monitor.landing(spark, str(tmp_path / "in/*.*")), str(tmp_path / "out"), str(tmp_path / "state"))
     items = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert len(items) == 1 and items[0]["actionable"] and items[0]["suspicious_total"] == 1
+    found = {r["path"].rsplit("/", 1)[1]: r for r in items}
+    assert sorted(found) == ["a.txt", "b.bin"] and found["a.txt"]["actionable"] and found["a.txt"]["suspicious_total"] == 1
+    assert found["b.bin"]["kind"] == "unknown" and found["b.bin"]["findings"] == [] and not found["b.bin"]["actionable"]
