@@ -9,7 +9,8 @@ r"""Mixing sources to target weights, by blocks and index permutations.
    Feistel permutation of the block indexes keyed by seed, source and epoch. A block is hence taken once per epoch.
 5. Slots meet blocks by (source, block index): keys that are near unique, whatever a source's share.
 
-The driver holds one row per source and the counts per shard and source (10,000 shards at most); nothing per document.
+The driver holds one row per source and the counts per shard and source; nothing per document. There are ``MAX_SHARDS`` shards at
+most: a mix of more slots than these hold at ``slots_per_shard`` each has larger ones.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = BLOCK_WORDS, seed: int = 42, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, docs_per_bucket: int = DOCS_PER_BUCKET, slots_per_shard: int = SLOTS_PER_SHARD):
-        self.spark, self.block, self.seed = docs.sparkSession, block_words, seed
+        self.spark, self.block, self.seed, self.per_shard = docs.sparkSession, block_words, seed, slots_per_shard
         sized = written(word_counts(docs, id_col, source_col, text_col), "mix-sizes")
         rows = sorted(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["size"] for r in rows]
@@ -160,14 +161,14 @@ class Mix:
     def slots(self) -> DataFrame:
         """``(shard, slot, s, epoch, block, words)``: each slot takes the first ``words`` words of a block."""
         total = sum(x["slots"] for x in self.sources)
-        shards = min(MAX_SHARDS, max(1, -(-total // SLOTS_PER_SHARD)))
+        shards = min(MAX_SHARDS, max(1, -(-total // self.per_shard)))
         counts = shard_counts(np.array([x["slots"] for x in self.sources], np.int64), shards, self.seed)
         begun, rows = [0] * len(self.sources), []
         for shard, row in enumerate(counts):
             for s, n in enumerate(row):
                 x = self.sources[s]
-                for at in range(0, int(n), SLOTS_PER_SHARD):
-                    rows.append((shard, s, begun[s] + at, min(SLOTS_PER_SHARD, int(n) - at), x["source_size"], x["slots"], x["last"]))
+                if n:
+                    rows.append((shard, s, begun[s], int(n), x["source_size"], x["slots"], x["last"]))
                 begun[s] += int(n)
         block, seed = self.block, self.seed
 
@@ -180,7 +181,11 @@ class Mix:
                     out["words"] = np.where(k == r.slots - 1, r.last, np.minimum(block, r.size - out["block"] * block))
                     yield out
 
+        # The driver has a row per source of a shard; runs of slots are cut from it by the tasks.
         plan = self.spark.createDataFrame(rows, "shard int, s int, first long, n long, size long, slots long, last long")
+        step = F.lit(SLOTS_PER_SHARD).cast("long")
+        plan = plan.withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)))
+        plan = plan.select("shard", "s", (F.col("first") + F.col("skip")).alias("first"), F.least(step, F.col("n") - F.col("skip")).alias("n"), "size", "slots", "last")
         return plan.mapInPandas(deal, "shard int, s int, k long, epoch long, block long, words long")
 
     def spans(self) -> DataFrame:
