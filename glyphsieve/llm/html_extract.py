@@ -55,6 +55,8 @@ _STATE = frozenset("has with without no is open opened closed enabled disabled".
 _GOOD = frozenset("article content main post entry story body text articlebody".split())
 FEATURES = ("bias", "words", "few words", "sentence", "linked", "paragraph", "heading", "item", "in article", "named good", "chrome", "header", "footer", "form", "hidden", "ad", "frame", "head", "talk", "chrome inside", "frame inside", "head inside", "words before", "words behind", "linked around")
 _AT = {name: k for k, name in enumerate(FEATURES)}
+_REST = [0.0] * (len(FEATURES) - _AT["chrome"])
+_PROSE, _ITEMS = ("p", "pre", "blockquote"), ("li", "dt", "dd", "td", "th", "figcaption")
 WORDS = 40
 #: Log odds are between ``-MOST`` and ``MOST``.
 MOST = 3.0
@@ -259,15 +261,14 @@ def blocks_of(page: str) -> list[Block]:
 
 def features(blocks: list[Block]) -> np.ndarray:
     """A row of ``FEATURES`` for each block."""
-    x = np.zeros((len(blocks), len(FEATURES)))
-    for row, b in zip(x, blocks, strict=True):
-        tag = b.parent.name
-        row[_AT["bias"]], row[_AT["words"]], row[_AT["few words"]] = 1, min(b.words, WORDS) / WORDS, b.words < 4
-        row[_AT["sentence"]], row[_AT["linked"]] = b.text[-1] in ".!?:;\"'”»…", b.linked
-        row[_AT["paragraph"]], row[_AT["heading"]] = tag in ("p", "pre", "blockquote"), tag[0] == "h" and tag[1:].isdigit()
-        row[_AT["item"]], row[_AT["in article"]], row[_AT["named good"]] = tag in ("li", "dt", "dd", "td", "th", "figcaption"), b.parent.inside, b.parent.good
-        for kind in b.parent.kinds:
-            row[_AT[kind]] = 1
+    rows, ends = [], ".!?:;\"'”»…"
+    for b in blocks:
+        tag, e = b.parent.name, b.parent
+        row = [1.0, min(b.words, WORDS) / WORDS, b.words < 4, b.text[-1] in ends, b.linked, tag in _PROSE, tag[0] == "h" and tag[1:].isdigit(), tag in _ITEMS, e.inside, e.good, *_REST]
+        for kind in e.kinds:
+            row[_AT[kind]] = 1.0
+        rows.append(row)
+    x = np.array(rows, float).reshape(-1, len(FEATURES))
     w, near = x[:, _AT["words"]], x[:, _AT["linked"]]
     x[1:, _AT["words before"]], x[:-1, _AT["words behind"]] = w[:-1], w[1:]
     x[1:, _AT["linked around"]] += near[:-1] / 2
