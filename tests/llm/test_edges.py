@@ -164,3 +164,30 @@ def test_merge_index_in_batches(spark):
     assert "Exchange" not in plan and "Bucketed: true" in plan
     assert [r["survivor"] for r in index.lookup([want[3][0]]).collect()] == [want[3][1]]
     index.close()
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, None, None, None, None, "w"), (2, "", "en", "a", 0, "w"), (3, "some words here", "en", "a", 15, "w"), (3, "some words here", "en", "a", 15, "w"), (None, "autres mots", "fr", None, 11, "w"), (4, "é " * 40_000, "fr", "b", 80_000, "w"), (5, "123 !", "en", "b", 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines string")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {"language_id": 4, "line_dedup": 7, "decontamination": 7}
+    for name, n in kept.items():
+        out = stages[name](spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == n, name
+        assert stages[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+    mixed = stages["mixing"](spark, docs, str(tmp_path)).collect()
+    assert len(mixed) == 7 and all(r["taken"] <= 2 * r["size"] for r in mixed) and stages["mixing"](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_quality_of_odd_labels(spark):
+    from glyphsieve.llm import quality
+
+    docs = spark.createDataFrame([(k, ("good words in a row. " if k % 2 else "$$ 12 !! ") * 5, 0.1) for k in range(80)] + [(90, None, 0.1), (91, "", 0.1), (None, "words", 0.1), (1, "good words again", 0.1)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(k, k % 2, None) for k in range(80)] + [(k, k % 2, 1) for k in range(80)] + [(3, None, None), (None, 1, None)], "doc_id long, quality int, toxic int")
+    got = quality.report(docs, labels).collect()
+    assert len(got) == 84 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    good, bad = ([r["score"] for r in got if r["doc_id"] is not None and r["doc_id"] < 80 and r["doc_id"] % 2 == k] for k in (1, 0))
+    assert sum(good) / len(good) > sum(bad) / len(bad)
