@@ -61,6 +61,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, *_SCRATCH.pop())
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What a query inside shuffles goes from the executors' disks when it ends, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
     spark = df.sparkSession

@@ -6,9 +6,14 @@ common shingle is among the first ``n // 5 + 1`` of one and ``m // 5 + 1`` of th
 can't be alike, and each pair that does, within the bounds on size and position, is compared by its whole sets. The sample
 sets the price only; any order finds every pair.
 
-Each set has a sketch of ``BITS`` bits, bit k the parity of how many shingles fall on it. Sketches differ in no more bits than
-their sets do in shingles, and sets that are alike differ in a ninth of both sizes at most, so sketches that differ in more
-rule a pair out for certain, before it is written anywhere.
+Sets of more than ``PART`` shingles are cut into 4, 16, ... parts by the first bits of the hashes, so that a part has 64 to ``PART``
+shingles or so. Two sets are alike if they differ in a ninth of both sizes at most, so if they are, they are alike in one part at least: were
+each part's difference more than a ninth of its sizes, so were the sum. Each part is joined as a set of its own. A set whose alike ones
+may have fewer parts is cut both ways.
+
+Each part has a sketch of ``BITS`` bits, bit k the parity of how many shingles fall on it. Sketches differ in no more bits than
+their sets do in shingles, so sketches that differ in more than a ninth of both sizes rule a pair out for certain, before it is
+written anywhere. Over whole sets of a thousand shingles they would rule out nothing, as they can't differ in more than ``BITS`` bits.
 
 Rows that share a prefix shingle are compared in rounds: ``CHAINS`` times at most, and while that links many, each with the nearest by sketch of the ``LAGS`` rows that follow
 it by size and are not joined to it yet, then every pair that the components so far don't join. A pair inside one component
@@ -25,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, written
+from .common import LOWER, new_path, scratch, shuffles_freed, written
 from .filters import Filter
 from .simhash import components, rooted, stay
 
@@ -33,6 +38,7 @@ WORDS = 5
 CHAINS = 3
 LAGS = 16
 BITS = 256
+PART = 256
 SAMPLE = 16_384
 COMMON = 3
 MOST_COMMON = 1 << 18
@@ -66,6 +72,20 @@ def prefix(s: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return s[: len(s) // 5 + 1]
 
 
+def level(n: int) -> int:
+    """A set of ``n`` shingles is cut into ``4 ** level`` parts."""
+    return (((n - 1) // PART).bit_length() + 1) // 2
+
+
+def parts(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """``(level, part)``: the parts of an ascending set that aren't empty, at its level and at the one of the smallest set alike."""
+    found = []
+    for k in range(level((4 * len(s) + 4) // 5), level(len(s)) + 1):
+        edges = np.arange(1, 4**k, dtype=np.uint64) << np.uint64(64 - 2 * k) if k else []
+        found += [(k, p) for p in np.split(s, np.searchsorted(s, edges)) if len(p)]
+    return found
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
@@ -89,8 +109,8 @@ def _common(texts: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The parities of a set, as ``BITS // 64`` longs."""
-    return np.packbits(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
+    """The parities of a part, as ``BITS // 64`` longs."""
+    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
 
 
 def near_pairs(first: np.ndarray, last: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, bits: np.ndarray, chain: bool, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +184,12 @@ def _candidates(rows: DataFrame, chain: bool, small: int) -> DataFrame:
     return found.groupBy("u").agg(F.max_by("v", F.struct("count", "v")).alias("v")) if chain else found.select("u", "v")
 
 
+def _put(df: DataFrame, path: str) -> DataFrame:
+    """``df`` from a path that outlives the scratch it is made of."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _links(pairs: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets are alike. Only the texts that are in a pair meet; texts take less room than sets."""
 
@@ -172,12 +198,14 @@ def _links(pairs: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFrame:
         sets = [[shingles(raw or b"") for raw in x.cast(pa.binary()).to_pylist()] for x in (a, b)]
         return pa.array([alike(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
 
-    asked = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    asked = written(asked.join(firsts.select("fp", "th"), "fp"), "near-asked")
-    found = Filter(asked.select(F.col("th").alias("key"))).mark(texts, "th").where("__gs_maybe").select("th", "text").dropDuplicates(["th"])
-    whole = written(found.join(asked, "th").select("fp", "text"), "near-texts")
-    both = pairs.join(whole.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(whole.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
-    return written(both.where(judge("a", "b")).select("u", "v"), "near-links")
+    spark, path = pairs.sparkSession, new_path(pairs.sparkSession, "near-links")
+    with scratch(spark):
+        asked = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+        asked = written(asked.join(firsts.select("fp", "th"), "fp"), "near-asked")
+        found = Filter(asked.select(F.col("th").alias("key"))).mark(texts, "th").where("__gs_maybe").select("th", "text").dropDuplicates(["th"])
+        whole = written(found.join(asked, "th").select("fp", "text"), "near-texts")
+        both = pairs.join(whole.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u").join(whole.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+        return _put(both.where(judge("a", "b")).select("u", "v"), path)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, small: int = SMALL) -> DataFrame:
@@ -186,33 +214,48 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words and lower case are as in ``simhash``. ``fp`` hashes the text's set, ``th`` its text; ``component_id`` is the
     least id of the component. A null text is one without words; those are alike. Shingles are told apart by 64 bits.
     """
+    with shuffles_freed(docs.sparkSession):
+        return _groups(docs, id_col, text_col, sample, small)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, sample: int, small: int) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     known = docs.sparkSession.sparkContext.broadcast(_common(texts, sample))
 
-    @F.arrow_udf("struct<fp:bigint,n:bigint,toks:array<bigint>,bits:array<bigint>>")
+    @F.arrow_udf(f"struct<fp:bigint,parts:array<struct<n:bigint,toks:array<bigint>,{','.join(f'{b}:bigint' for b in _WORDS_OF_BITS)}>>>")
     def of(column: pa.Array) -> pa.Array:
-        fps, sizes, heads, bits = [], [], [], []
+        fps, ends, sizes, heads, bits = [], [0], [], [], []
         for raw in column.cast(pa.binary()).to_pylist():
             s = shingles(raw or b"")
             fps.append(xxhash.xxh64_intdigest(s.tobytes()))
-            sizes.append(len(s))
-            heads.append(prefix(s, *known.value))
-            bits.append(sketch(s).view(np.uint64))
-        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(heads), _lists(bits)], ["fp", "n", "toks", "bits"])
-
-    prints = written(texts.withColumn("x", of("text")).select("id", "th", "x.fp", "x.n", "x.toks", "x.bits"), "near-prints")
+            for k, part in parts(s):
+                sizes.append(len(part))
+                heads.append(prefix(part, *known.value) ^ np.uint64(k * int(_STEP) % (1 << 64)))
+                bits.append(sketch(part))
+            ends.append(len(sizes))
+        words = np.array(bits, np.int64).reshape(-1, len(_WORDS_OF_BITS))
+        each = pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), _lists(heads), *map(pa.array, words.T.copy())], ["n", "toks", *_WORDS_OF_BITS])
+        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], ["fp", "parts"])
+
+    spark = docs.sparkSession
+    prints_at, shared_at = new_path(spark, "near-prints"), new_path(spark, "near-shared")
+    with scratch(spark):
+        cut_at = new_path(spark, "near-parts")
+        with scratch(spark):
+            whole = written(texts.withColumn("x", of("text")).select("id", "th", "x.fp", "x.parts"), "near-whole")
+            prints = _put(whole.select("id", "th", "fp"), prints_at)
+            cut = _put(whole.groupBy("fp").agg(F.first("parts").alias("parts")).select("fp", F.posexplode("parts").alias("part", "p")).select("fp", "part", "p.*"), cut_at)
+        tokens = cut.select("fp", "part", "n", F.posexplode("toks").alias("at", "tok")).withColumn("at", F.col("at").cast("bigint"))
+        met = written(tokens.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("of > 1").drop("of"), "near-met")
+        # Sketches go to the rows that meet others only, so that they aren't shuffled with every shingle.
+        shared = _put(met.join(cut.select("fp", "part", *_WORDS_OF_BITS), ["fp", "part"]).drop("part"), shared_at)
     firsts = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.min("th").alias("th")), "near-firsts")
-    tokens = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("toks").alias("toks")).select("fp", "n", F.posexplode("toks").alias("at", "tok")).withColumn("at", F.col("at").cast("bigint"))
-    shared = written(tokens.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("of > 1").drop("of"), "near-shared")
-    # Sketches go to the rows that meet others only, so that they aren't shuffled with every shingle.
-    met = shared.select("fp").distinct()
-    bits = written(prints.select("fp", "bits").join(met, "fp").groupBy("fp").agg(F.first("bits").alias("bits")).select("fp", *[F.col("bits")[k].alias(b) for k, b in enumerate(_WORDS_OF_BITS)]), "near-sketches")
     links = judged = None
     boss, pays = shared.select(F.col("fp").alias("linked"), F.col("fp").alias("boss")).limit(0), True
     for chain in [True] * CHAINS + [False]:
         if chain and not pays:
             continue
-        rows = shared.join(bits, "fp").join(boss, F.col("fp") == F.col("linked"), "left").withColumn("root", F.coalesce("boss", "fp"))
+        rows = shared.join(boss, F.col("fp") == F.col("linked"), "left").withColumn("root", F.coalesce("boss", "fp"))
         pairs = _candidates(rows, chain, small)
         pairs = written(pairs if judged is None else pairs.join(judged, ["u", "v"], "left_anti"), "near-candidates")
         found = _links(pairs, firsts, texts)

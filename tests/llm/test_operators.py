@@ -246,6 +246,39 @@ def test_near_copies_of_five_words_against_brute_force(spark, small):
     assert near_copies.keep_firsts(table(spark, [])).count() == 0
 
 
+def test_sets_alike_are_alike_in_a_part():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 250, 256, 257, 300, 320, 1024, 1100, 1280, 5000, 17_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        for kept, new in ((len(a), len(a) // 4), (-(-4 * len(a) // 5), 0), (len(a) - len(a) // 9, len(a) // 9)):
+            b = np.unique(np.concatenate([rng.permutation(a)[:kept], rng.integers(0, 1 << 64, new, np.uint64, endpoint=False)]))
+            assert near_copies.alike(a, b)
+            cuts = [{(k, int(p[0]) >> (64 - 2 * k)): p for k, p in near_copies.parts(s)} for s in (a, b)]
+            assert any(near_copies.alike(cuts[0][key], cuts[1][key]) for key in cuts[0].keys() & cuts[1].keys())
+
+
+@pytest.mark.parametrize("small", [64, 2])
+def test_long_texts_that_share_a_passage_are_not_compared(spark, monkeypatch, small):
+    """Sets of 1,500 shingles, 116 of them also in the next text: parts rule out all pairs but those of near copies."""
+    rng = random.Random(11)
+    passages = [[f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(61)]
+    rows = [(k, " ".join(passages[k] + [f"w{rng.randrange(10**6)}" for _ in range(1260)] + passages[k + 1])) for k in range(60)]
+    rows += [(100 + k, rows[k][1].replace(" w1", " new w1", 3)) for k in range(10)]
+    asked, links = [], near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda pairs, *more: asked.append(pairs.count()) or links(pairs, *more))
+    kept = near_copies.keep_firsts(table(spark, rows), small=small)
+    assert sorted(r["doc_id"] for r in kept.collect()) == near_brute_force(rows) == list(range(60))
+    assert sum(asked) <= 20
+
+
+def test_near_copies_free_what_they_shuffle(spark, monkeypatch):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, inside, links = spark.conf.get(key), [], near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda *x: inside.append(spark.conf.get(key)) or links(*x))
+    near_copies.keep_firsts(table(spark, [(1, "a b"), (2, "a b"), (3, "c")]))
+    assert set(inside) == {"true"} and spark.conf.get(key) == before
+
+
 def test_pipeline_stage_takes_what_three_bits_leave(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
