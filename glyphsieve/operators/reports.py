@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, StringType
@@ -11,11 +12,21 @@ from . import audit
 MISSING = "—"
 
 
+def _digits(c: Column) -> Column:
+    """Rounds the double itself, ties to even; Java's formats round its shortest decimal text, so that 0.16135 would go up."""
+
+    @F.arrow_udf("string")
+    def shown(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.4f}" if abs(v) < 10 else f"{v:.1f}" for v in values.to_pylist()], pa.string())
+
+    return shown(c.cast("double"))
+
+
 def markdown_value(rows: DataFrame, name: str) -> Column:
     """Four digits behind the point below ten, one above; a dash for null."""
     c, kind = F.col(name), rows.schema[name].dataType
     if isinstance(kind, (DoubleType, FloatType)):
-        shown = F.when(F.abs(c) < 10, F.format_string("%.4f", c)).otherwise(F.format_string("%.1f", c))
+        shown = _digits(c)
     else:
         shown = F.replace(c.cast("string"), F.lit("|"), F.lit("\\|"))
     return F.when(c.isNull(), MISSING).otherwise(shown)

@@ -5,7 +5,7 @@ Rows of an evaluation are made from documents: scores from word counts, seeds an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphsieve.functions import compare, tokens
@@ -198,7 +198,11 @@ def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT '| ' || variant || ' | ' || n || ' | ' || format('{{:.4f}}', b) || ' | ' || coalesce(format('{{:.4f}}', m), '—') || ' |' AS markdown, variant || ',' || n || ',' || noop::INT || ',' || CASE WHEN m IS NULL THEN '' ELSE {quoted('"a, ""b""' + '"')} END AS csv FROM a""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A variant table's lines, with a missing value and a text that needs quotes."""
-    a = _rows(spark, sf_dir).groupBy("variant").agg(F.count(F.lit(1)).alias("n"), (F.avg("score_before") / 3).alias("b"), (F.avg(F.when(F.col("variant") != "v2", F.col("score_after"))) / 3).alias("m"), F.bool_or("noop").alias("noop"))
+    # Means near the middle of two shown values turn on the order of a sum's terms: it is that of the ids, however rows are dealt out.
+    so_far = Window.partitionBy("variant").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _rows(spark, sf_dir).withColumns({c: F.sum(f"score_{c}").over(so_far) for c in ("before", "after")})
+    mean = lambda c: F.max(F.struct("doc_id", c))[c] / F.count(f"score_{c}") / 3
+    a = rows.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), mean("before").alias("b"), F.when(F.col("variant") != "v2", mean("after")).alias("m"), F.bool_or("noop").alias("noop"))
     a = a.withColumn("note", F.when(F.col("m").isNotNull(), 'a, "b"'))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[reports.markdown_value(a, c) for c in ("variant", "n", "b", "m")]), F.lit(" |"))
     return a.select(line.alias("markdown"), F.concat_ws(",", *[reports.csv_cell(a, c) for c in ("variant", "n", "noop", "note")]).alias("csv"))

@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 
 from glyphsieve import plans
+from glyphsieve.operators import reports
 from tests.conftest import SF, same
 
 
@@ -18,3 +20,17 @@ def test_entry_points_agree():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(plans.QUERIES) <= set(e.queries())
+
+
+def test_report_values_round_the_double_itself(spark):
+    values = [0.16135, 0.16125, 0.03125, 0.09375, -0.00005, 9.99995, 12.25, 12.35, -10.0, None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    got = [r["x"] for r in df.select("k", reports.markdown_value(df, "v").alias("x")).orderBy("k").collect()]
+    assert got == ["—" if v is None else f"{v:.4f}" if abs(v) < 10 else f"{v:.1f}" for v in values]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_report_lines_equal_sql_at_larger_sizes(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf{sf}/documents.parquet')")
+    assert same(plans.QUERIES["report_lines"](spark, f"/root/testdata/sf{sf}"), con.execute(plans.ORACLE_SQL["report_lines"]))
