@@ -1,5 +1,8 @@
 r"""Near copies by exact Jaccard similarity: 0.8 or more over the sets of five-word shingles.
 
+First simhash: fingerprints of 64 bits over the sets, pigeonhole blocks, and the pairs that these link within ``DISTANCE`` bits compared by
+their whole sets. That joins most copies, but no distance finds all that are alike, so an exact join finds the rest.
+
 A prefix-filtered set join. Each set is sorted in one order that all sets share, shingles that a sample found in many
 texts last. Two sets of ``n`` and ``m`` shingles are alike if they share ``4 (n + m) / 9`` or more, and then their first
 common shingle is among the first ``n // 5 + 1`` of one and ``m // 5 + 1`` of the other: pairs that share none there
@@ -15,7 +18,7 @@ Each part has a sketch of ``BITS`` bits, bit k the parity of how many shingles f
 their sets do in shingles, so sketches that differ in more than a ninth of both sizes rule a pair out for certain, before it is
 written anywhere. Over whole sets of a thousand shingles they would rule out nothing, as they can't differ in more than ``BITS`` bits.
 
-Rows that share a prefix shingle are compared in rounds: ``CHAINS`` times at most, and while that links many, each with the nearest by sketch of the ``LAGS`` rows that follow
+Rows that share a prefix shingle are compared in rounds, from the components that simhash found: ``CHAINS`` times at most, and while that links many, each with the nearest by sketch of the ``LAGS`` rows that follow
 it by size and are not joined to it yet, then every pair that the components so far don't join. A pair inside one component
 can't change it; the first rounds join most of a large group of copies with a pair per row, so that the last one meets few pairs of it.
 """
@@ -32,12 +35,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, new_path, scratch, shuffles_freed, written
 from .filters import Filter
-from .simhash import components, rooted, stay
+from .simhash import SHINGLES_AT_ONCE, components, links, rooted, stay
 
 WORDS = 5
 CHAINS = 3
 LAGS = 16
 BITS = 256
+DISTANCE = 3
 PART = 256
 SAMPLE = 16_384
 COMMON = 3
@@ -72,6 +76,14 @@ def prefix(s: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return s[: len(s) // 5 + 1]
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The simhash of a set, as a signed long: a bit is 1 if set in over half the shingles' hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(s), SHINGLES_AT_ONCE):
+        ones += np.unpackbits(s[k : k + SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view(np.int64)[0])
+
+
 def level(n: int) -> int:
     """A set of ``n`` shingles is cut into ``4 ** level`` parts."""
     return (((n - 1) // PART).bit_length() + 1) // 2
@@ -184,6 +196,17 @@ def _candidates(rows: DataFrame, chain: bool, small: int) -> DataFrame:
     return found.groupBy("u").agg(F.max_by("v", F.struct("count", "v")).alias("v")) if chain else found.select("u", "v")
 
 
+def _close(firsts: DataFrame) -> DataFrame:
+    """``(u, v)``, ``u > v``: sets to compare as their fingerprints are equal or linked; a pair per set and per link of blocks at most."""
+    heads = written(firsts.groupBy("sim").agg(F.min("fp").alias("head")), "near-fingerprints")
+    equal = firsts.join(heads, "sim").where("fp <> head").select("fp", "head")
+    near = links(heads.select(F.col("sim").alias("fp")), DISTANCE)
+    for side in ("u", "v"):
+        near = near.join(heads.select(F.col("sim").alias(side), F.col("head").alias(f"{side}_head")), side)
+    both = equal.unionByName(near.select(F.col("u_head").alias("fp"), F.col("v_head").alias("head")))
+    return both.select(F.greatest("fp", "head").alias("u"), F.least("fp", "head").alias("v")).distinct()
+
+
 def _put(df: DataFrame, path: str) -> DataFrame:
     """``df`` from a path that outlives the scratch it is made of."""
     df.write.parquet(path)
@@ -222,12 +245,13 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, sample: int, small: int
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     known = docs.sparkSession.sparkContext.broadcast(_common(texts, sample))
 
-    @F.arrow_udf(f"struct<fp:bigint,parts:array<struct<n:bigint,toks:array<bigint>,{','.join(f'{b}:bigint' for b in _WORDS_OF_BITS)}>>>")
+    @F.arrow_udf(f"struct<fp:bigint,sim:bigint,parts:array<struct<n:bigint,toks:array<bigint>,{','.join(f'{b}:bigint' for b in _WORDS_OF_BITS)}>>>")
     def of(column: pa.Array) -> pa.Array:
-        fps, ends, sizes, heads, bits = [], [0], [], [], []
+        fps, sims, ends, sizes, heads, bits = [], [], [0], [], [], []
         for raw in column.cast(pa.binary()).to_pylist():
             s = shingles(raw or b"")
             fps.append(xxhash.xxh64_intdigest(s.tobytes()))
+            sims.append(fingerprint(s))
             for k, part in parts(s):
                 sizes.append(len(part))
                 heads.append(prefix(part, *known.value) ^ np.uint64(k * int(_STEP) % (1 << 64)))
@@ -235,36 +259,39 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, sample: int, small: int
             ends.append(len(sizes))
         words = np.array(bits, np.int64).reshape(-1, len(_WORDS_OF_BITS))
         each = pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), _lists(heads), *map(pa.array, words.T.copy())], ["n", "toks", *_WORDS_OF_BITS])
-        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], ["fp", "parts"])
+        return pa.StructArray.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sims, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], ["fp", "sim", "parts"])
 
     spark = docs.sparkSession
     prints_at, shared_at = new_path(spark, "near-prints"), new_path(spark, "near-shared")
     with scratch(spark):
         cut_at = new_path(spark, "near-parts")
         with scratch(spark):
-            whole = written(texts.withColumn("x", of("text")).select("id", "th", "x.fp", "x.parts"), "near-whole")
-            prints = _put(whole.select("id", "th", "fp"), prints_at)
+            whole = written(texts.withColumn("x", of("text")).select("id", "th", "x.fp", "x.sim", "x.parts"), "near-whole")
+            prints = _put(whole.select("id", "th", "fp", "sim"), prints_at)
             cut = _put(whole.groupBy("fp").agg(F.first("parts").alias("parts")).select("fp", F.posexplode("parts").alias("part", "p")).select("fp", "part", "p.*"), cut_at)
         tokens = cut.select("fp", "part", "n", F.posexplode("toks").alias("at", "tok")).withColumn("at", F.col("at").cast("bigint"))
         met = written(tokens.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("of > 1").drop("of"), "near-met")
         # Sketches go to the rows that meet others only, so that they aren't shuffled with every shingle.
         shared = _put(met.join(cut.select("fp", "part", *_WORDS_OF_BITS), ["fp", "part"]).drop("part"), shared_at)
-    firsts = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.min("th").alias("th")), "near-firsts")
-    links = judged = None
+    firsts = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.first("sim").alias("sim")), "near-firsts")
     boss, pays = shared.select(F.col("fp").alias("linked"), F.col("fp").alias("boss")).limit(0), True
-    for chain in [True] * CHAINS + [False]:
-        if chain and not pays:
+    judged = alike_pairs = None
+    for how in ["simhash"] + ["chain"] * CHAINS + ["all"]:
+        if how == "chain" and not pays:
             continue
-        rows = shared.join(boss, F.col("fp") == F.col("linked"), "left").withColumn("root", F.coalesce("boss", "fp"))
-        pairs = _candidates(rows, chain, small)
-        pairs = written(pairs if judged is None else pairs.join(judged, ["u", "v"], "left_anti"), "near-candidates")
+        if how == "simhash":
+            pairs = _close(firsts)
+        else:
+            rows = shared.join(boss, F.col("fp") == F.col("linked"), "left").withColumn("root", F.coalesce("boss", "fp"))
+            pairs = _candidates(rows, how == "chain", small).join(judged, ["u", "v"], "left_anti")
+        pairs = written(pairs, "near-candidates")
         found = _links(pairs, firsts, texts)
-        links, judged = (found, pairs) if links is None else (links.unionByName(found), judged.unionByName(pairs))
+        alike_pairs, judged = (found, pairs) if judged is None else (alike_pairs.unionByName(found), judged.unionByName(pairs))
         # A round that links less than a quarter of its pairs has met other texts than copies: the last one settles the rest.
         n = found.count()
-        pays = 0 < pairs.count() <= 4 * n
+        pays = how == "simhash" or 0 < pairs.count() <= 4 * n
         if n:
-            boss = components(links).select(F.col("u").alias("linked"), F.col("v").alias("boss"))
+            boss = components(alike_pairs).select(F.col("u").alias("linked"), F.col("v").alias("boss"))
     return rooted(prints.select("id", "th", "fp"), firsts.select("fp", "first"), boss.select(F.col("linked").alias("u"), F.col("boss").alias("v")))
 
 

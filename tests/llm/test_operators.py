@@ -271,6 +271,29 @@ def test_long_texts_that_share_a_passage_are_not_compared(spark, monkeypatch, sm
     assert sum(asked) <= 20
 
 
+def test_simhash_finds_near_copies_before_the_join(spark, monkeypatch):
+    """Fingerprints equal to those by single bits; sets of close ones are compared first, each connected to all that are close."""
+    rng = random.Random(12)
+    s = np.unique(np.array([rng.randrange(1 << 64) for _ in range(301)], np.uint64))
+    assert near_copies.fingerprint(s) % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in s) > len(s))
+    sims = [rng.getrandbits(63) for _ in range(20)]
+    sims += [x ^ (1 << rng.randrange(60)) ^ (1 << 61) for x in sims[:8]] + sims[5:12]
+    pairs = near_copies._close(spark.createDataFrame(list(enumerate(sims)), "fp long, sim long")).collect()
+    boss = list(range(len(sims)))
+    brute = list(boss)
+    for found, joined in (([(r["u"], r["v"]) for r in pairs], boss), ([(i, j) for i in range(len(sims)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= 3], brute)):
+        for i, j in found:
+            assert i > j
+            joined[:] = [joined[j] if x == joined[i] else x for x in joined]
+    same_sets = lambda b: {frozenset(k for k, x in enumerate(b) if x == y) for y in b}
+    assert same_sets(boss) == same_sets(brute) and len(pairs) < len(sims)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    asked, links = [], near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda *x: asked.append(links(*x)) or asked[-1])
+    assert near_copies.keep_firsts(table(spark, [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, "x")])).count() == 2
+    assert [f.count() for f in asked][:2] == [1, 0]
+
+
 def test_near_copies_free_what_they_shuffle(spark, monkeypatch):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, inside, links = spark.conf.get(key), [], near_copies._links
