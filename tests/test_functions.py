@@ -22,6 +22,11 @@ def test_words_and_sentences(spark):
     assert "".join(u["unit"] + u["separator"] for u in units) == "A. B\n\nC"
 
 
+def test_sentences_and_lines_lose_spaces_only(spark):
+    assert one(spark, "0 a.  19.37.233.111\n  22 b2", tokens.sentences) == ["0 a.", "19.37.233.111", "22 b2"]
+    assert [int(x) for x in one(spark, "00\n11\n 22 \n0x33", tokens.load_token_ids)] == [0, 11, 22, 0x33]
+
+
 def test_token_ids(spark):
     import hashlib
 
