@@ -114,3 +114,10 @@ def test_sources_and_stream(spark, tmp_path):
     found = {r["path"].rsplit("/", 1)[1]: r for r in items}
     assert sorted(found) == ["a.txt", "b.bin"] and found["a.txt"]["actionable"] and found["a.txt"]["suspicious_total"] == 1
     assert found["b.bin"]["kind"] == "unknown" and found["b.bin"]["findings"] == [] and not found["b.bin"]["actionable"]
+
+
+def test_walk_goes_through_carriers_only():
+    text = "plain é words " * 1000 + "a​b " + "c" * 1000 + "‪d‬"
+    assert [(at, out, why) for at, _, out, why in codepoints.walk(text, strip_bidi=True)] == [(14001, "", "zwj_family"), (14003, " ", "space"), (15004, "", "bidi"), (15006, "", "bidi")]
+    assert [why for *_, why in codepoints.walk(text)] == ["zwj_family", "space", None, None]
+    assert codepoints.clean(text)[0] == text.replace("​", "").replace(" ", " ")
