@@ -121,3 +121,10 @@ def test_walk_goes_through_carriers_only():
     assert [(at, out, why) for at, _, out, why in codepoints.walk(text, strip_bidi=True)] == [(14001, "", "zwj_family"), (14003, " ", "space"), (15004, "", "bidi"), (15006, "", "bidi")]
     assert [why for *_, why in codepoints.walk(text)] == ["zwj_family", "space", None, None]
     assert codepoints.clean(text)[0] == text.replace("​", "").replace(" ", " ")
+
+
+def test_inspect_judges_carriers_only(monkeypatch):
+    seen, test = [], codepoints._KEPT_BIDI
+    monkeypatch.setattr(codepoints, "_KEPT_BIDI", lambda cp: seen.append(cp) or test(cp))
+    codepoints.inspect("plain é words " * 1000 + "a\u200bb\u202ec")
+    assert set(seen) <= {0x200B, 0x202E} and len(seen) <= 2
