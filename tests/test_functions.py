@@ -128,3 +128,10 @@ def test_inspect_judges_carriers_only(monkeypatch):
     monkeypatch.setattr(codepoints, "_KEPT_BIDI", lambda cp: seen.append(cp) or test(cp))
     codepoints.inspect("plain é words " * 1000 + "a\u200bb\u202ec")
     assert set(seen) <= {0x200B, 0x202E} and len(seen) <= 2
+
+
+def test_clean_judges_carriers_only(monkeypatch):
+    seen, test = [], codepoints._KEPT_BIDI
+    monkeypatch.setattr(codepoints, "_KEPT_BIDI", lambda cp: seen.append(cp) or test(cp))
+    codepoints.clean("plain é words " * 1000 + "a\u200bb\u202ec")
+    assert set(seen) <= {0x200B, 0x202E} and len(seen) <= 2
