@@ -38,8 +38,8 @@ def events_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     points = e.select(at.alias("at"), "value")
     ranges = e.where("event_id % 10 = 0").select("event_id", at.alias("low"), (at + 3 * 3_600_000_000).alias("high"))
-    joined = relational.range_join(points, ranges, "at", "low", "high", 3 * 3_600_000_000)
-    return joined.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    found = relational.range_totals(points, ranges, "at", "low", "high", "value", 3_600_000_000)
+    return found.groupBy("event_id").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
 _PAIRS_SQL = f"SELECT DISTINCT w[k] AS ctx, w[k + 1] AS tok FROM (SELECT w, unnest(range(1, len(w))) AS k FROM (SELECT regexp_extract_all(lower(coalesce(text, '')), {quoted(tokens.WORD_OR_SIGN)}) AS w FROM documents WHERE lang = '%s'))"

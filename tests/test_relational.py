@@ -41,3 +41,25 @@ def test_sets_counts_and_dates(spark):
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(F.unix_seconds(relational.from_pdf_date(F.col("t")))).collect()]
     at = lambda *x: int(dt.datetime(*x, tzinfo=dt.timezone.utc).timestamp())
     assert got == [at(2024, 1, 1), at(2024, 2, 29), at(2024, 2, 29, 10, 11, 12), at(2024, 2, 29, 18, 11, 12), at(2024, 2, 29, 4, 41, 12), None, None, None]
+
+
+@pytest.mark.parametrize("width", [3.0, 50.0])
+def test_range_totals_against_brute_force(spark, width):
+    rng = random.Random(4)
+    points = [(rng.randrange(-50, 50), rng.choice([1.25, -3.5, 0.1, None])) for _ in range(150)] + [(None, 1.0), (60, None), (70, float("inf")), (71, float("nan")), (72, 2.0)]
+    ranges = [(k, low, low + rng.choice([0, 1, 7, 40])) for k in range(60) for low in [rng.randrange(-60, 50)]] + [(90, 60, 61), (91, 69, 71), (92, 70, 73), (93, 72, 90), (94, None, 1), (95, 69, 71), (96, 200, 300)]
+    got = relational.range_totals(spark.createDataFrame(points, "at long, value double"), spark.createDataFrame(ranges, "r int, low long, high long"), "at", "low", "high", "value", width)
+    want = {}
+    for r, low, high in ranges:
+        held = [v for at, v in points if low is not None and at is not None and low <= at < high]
+        if held:
+            valued = [v for v in held if v is not None]
+            want[r] = (len(held), repr(round(sum(valued), 6) + 0.0) if valued else "None")
+    assert {x["r"]: (x["n"], "None" if x["total"] is None else repr(round(x["total"], 6) + 0.0)) for x in got.collect()} == want and {90, 91, 92, 93, 95} <= set(want)
+
+
+def test_range_totals_make_no_pairs(spark):
+    """Where every point meets every range, a join would make 10 ** 10 rows."""
+    rows = spark.range(100_000).selectExpr("id", "id % 10 AS at", "id % 10 - 5 AS low", "id % 10 + 20 AS high", "1.0D AS value")
+    got = relational.range_totals(rows.select("at", "value"), rows.select("id", "low", "high"), "at", "low", "high", "value", 10)
+    assert [tuple(r) for r in got.groupBy("low").agg({"n": "max", "total": "min", "id": "count"}).orderBy("low").select("low", "max(n)", "min(total)", "count(id)").collect()] == [(k - 5, 100_000 - 10_000 * max(0, k - 5), 100_000.0 - 10_000 * max(0, k - 5), 10_000) for k in range(10)]
