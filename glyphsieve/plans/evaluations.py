@@ -40,9 +40,10 @@ def auroc_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, d = tokens.word_count(F.coalesce("text", F.lit(""))), F.col("doc_id")
+    n, d = F.col("n"), F.col("doc_id")
+    words = F.explode(F.array(tokens.word_count(F.coalesce("text", F.lit("")))))  # not inlined into each column that is made of it
     before, after = F.pmod(n, F.lit(100)) / 100.0, F.pmod(n * 7 + d, F.lit(100)) / 100.0
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("v"), F.pmod(d, F.lit(5)).cast("string")).alias("variant"), "doc_id", "source", before.alias("score_before"), F.when(d % 11 != 0, after).alias("score_after"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("n")).select(F.concat(F.lit("v"), F.pmod(d, F.lit(5)).cast("string")).alias("variant"), "doc_id", "source", before.alias("score_before"), F.when(d % 11 != 0, after).alias("score_after"))
     return rows.withColumn("before_pos", F.col("score_before") >= 0.5).withColumn("after_pos", F.coalesce(F.col("score_after") >= 0.5, F.lit(False))).withColumn("cleared", F.col("score_after") < 0.5).withColumn("margin", 0.5 - F.col("score_after")).withColumn("noop", F.col("score_after") == F.col("score_before"))
 
 
