@@ -1,8 +1,9 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from glyphsieve import plans
-from glyphsieve.operators import reports
+from glyphsieve.operators import ngrams, reports
 from tests.conftest import SF, same
 
 
@@ -58,3 +59,24 @@ def test_variants_count_words_once_a_scan(spark):
     """The count was inlined into each column that is made of it: 37 times over six scans."""
     plan = plans.QUERIES["variant_aggregate"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") + plan.count("regexp_count") == plan.count("Generate explode")
+
+
+@pytest.mark.parametrize("context", [1, 2])
+def test_scores_of_texts_deal_out_their_pairs_once(spark, context):
+    texts = ["a b a b c", "", "a", "c a b c a b", "b a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("w", F.filter(F.split("t", " "), lambda x: x != ""))
+    words = [t.split() for t in texts]
+    held = [(k, " ".join(w[i - context : i]), w[i]) for k, w in enumerate(words) for i in range(context, len(w))]
+    assert sorted(map(tuple, ngrams.pairs(docs, F.col("w"), context, ("id",)).collect())) == sorted(held)
+    weights = {(c, t): len(c) + 0.25 for _, c, t in held if t != "c"}
+    got = ngrams.sequence_scores(docs, spark.createDataFrame([(*k, v) for k, v in weights.items()], "ctx string, tok string, score double"), F.col("w"), "id", context)
+    each = {k: [weights[c, t] for j, c, t in held if j == k and (c, t) in weights] for k in range(5)}
+    assert {r["id"]: (r["hits"], r["total"]) for r in got.collect()} == {k: (len(v), sum(v) if v else None) for k, v in each.items()}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_tables_of_pairs_are_counted_once_a_corpus(spark):
+    df = plans.QUERIES["ngram_top"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") >= 4, plan
