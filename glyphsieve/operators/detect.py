@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import hmac
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from glyphsieve.functions import stylometry, tokens
 
 WINDOW, THRESHOLD = 4, 1e-6
 RESULT = "struct<tokens_total:bigint,skipped_no_context:bigint,skipped_repeated:bigint,counted:bigint,statistic:double,p_value:double,score:double,is_watermarked:boolean>"
+_RESULT = pa.struct([("tokens_total", pa.int64()), ("skipped_no_context", pa.int64()), ("skipped_repeated", pa.int64()), ("counted", pa.int64()), ("statistic", pa.float64()), ("p_value", pa.float64()), ("score", pa.float64()), ("is_watermarked", pa.bool_())])
 
 
 def key_bytes(raw: str) -> bytes:
@@ -25,11 +29,18 @@ def key_bytes(raw: str) -> bytes:
         return raw.encode()
 
 
+#: ``lgamma(k + 1)`` by ``k``, as far as it was needed.
+_LGAMMA: list[float] = []
+
+
 def gamma_tail(n: int, s: float) -> float:
     """P(Gamma(n, 1) >= s), as a Poisson sum in logarithms."""
     if n <= 0 or s <= 0:
         return 1.0
-    terms = [k * math.log(s) - s - math.lgamma(k + 1) for k in range(n)]
+    while len(_LGAMMA) < n:
+        _LGAMMA.append(math.lgamma(len(_LGAMMA) + 1))
+    log = math.log(s)
+    terms = [k * log - s - g for k, g in zip(range(n), _LGAMMA)]
     top = max(terms)
     return min(1.0, max(0.0, math.exp(top + math.log(math.fsum(math.exp(t - top) for t in terms)))))
 
@@ -51,18 +62,73 @@ def statistic(ids: list[int], key: bytes, window: int = WINDOW, threshold: float
     return {"tokens_total": len(ids), "skipped_no_context": min(len(ids), window - 1), "skipped_repeated": repeated, "counted": counted, "statistic": total, "p_value": p, "score": round(-math.log10(p), 6) if p > 0 else 300.0, "is_watermarked": p < threshold}
 
 
+def keyed_tokens(key: str, window: int = WINDOW, threshold: float = THRESHOLD):
+    """``keyed`` over arrays of tokens: the ids are made here, each distinct token hashed once a batch."""
+    secret = key_bytes(key)
+
+    @F.arrow_udf(RESULT)
+    def of(lists: pa.Array) -> pa.Array:
+        flat = pc.dictionary_encode(lists.flatten())
+        ids = [int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big") for t in flat.dictionary.to_pylist()]
+        out, at = [], 0
+        for n in pc.list_value_length(lists).to_pylist():
+            out.append(None if n is None else statistic([ids[k] for k in flat.indices[at : at + n].to_pylist()], secret, window, threshold))
+            at += n or 0
+        return pa.array(out, _RESULT)
+
+    return of
+
+
 def keyed(key: str, window: int = WINDOW, threshold: float = THRESHOLD):
     """An Arrow function from arrays of token ids to results; null for null."""
     secret = key_bytes(key)
-    kind = pa.struct([("tokens_total", pa.int64()), ("skipped_no_context", pa.int64()), ("skipped_repeated", pa.int64()), ("counted", pa.int64()), ("statistic", pa.float64()), ("p_value", pa.float64()), ("score", pa.float64()), ("is_watermarked", pa.bool_())])
 
     @F.arrow_udf(RESULT)
     def of(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else statistic(x, secret, window, threshold) for x in ids.to_pylist()], kind)
+        return pa.array([None if x is None else statistic(x, secret, window, threshold) for x in ids.to_pylist()], _RESULT)
 
     return of
 
 
+#: Tokens that are counted at a time: arrays over them are what a worker holds.
+TOKENS = 1 << 20
+
+
+def _counted(lists: pa.ListArray, window: int) -> np.ndarray:
+    """``(tokens, windows, distinct windows)`` of each list of tokens; equal ids count as equal tokens."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.dictionary_encode(lists.flatten())
+    ids = np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big") for t in flat.dictionary.to_pylist()], np.uint64)
+    codes = np.unique(ids, return_inverse=True)[1][flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+    spans = np.maximum(sizes - window + 1, 0)
+    of = np.repeat(np.arange(len(sizes)), spans)
+    ends = np.cumsum(sizes)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(spans) - spans, spans) + np.repeat(ends - sizes, spans)
+    keys = of
+    for k in range(window):  # equal so far, and equal here
+        keys = np.unique(keys * (len(ids) + 1) + codes[at + k], return_inverse=True)[1] if len(at) else keys
+    first = np.unique(keys, return_index=True)[1]
+    return np.stack([sizes, spans, np.bincount(of[first], minlength=len(sizes))], axis=1)
+
+
+def token_counts(lists: pa.Array, window: int) -> pa.Array:
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(upto // TOKENS)) + 1).tolist(), len(lists)]
+    n = np.concatenate([_counted(lists[a:b], window) for a, b in zip(cuts, cuts[1:])]) if len(lists) else np.zeros((0, 3), np.int64)
+    columns = {"tokens_total": n[:, 0], "skipped_no_context": np.minimum(n[:, 0], window - 1), "skipped_repeated": n[:, 1] - n[:, 2], "counted": n[:, 2]}
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], names=list(columns), mask=pc.is_null(lists))
+
+
+def token_counters(words: Column, window: int = WINDOW) -> Column:
+    """``counters`` of the ids of arrays of tokens: each distinct token is hashed once a batch, and windows are numbered by sorting."""
+
+    @F.arrow_udf("struct<tokens_total:bigint,skipped_no_context:bigint,skipped_repeated:bigint,counted:bigint>")
+    def of(lists: pa.Array) -> pa.Array:
+        return token_counts(lists, window)
+
+    return of(words)
+
+
 def counters(ids: Column, window: int = WINDOW) -> Column:
     """What ``keyed`` counts, by built-in functions: ``struct<tokens_total,skipped_no_context,skipped_repeated,counted>``."""
     return tokens.let(ids, lambda x: _counters(x, window))
@@ -102,7 +168,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = docs.sparkSession.conf.get("spark.glyphsieve.gumbel.key", None)
     if not key:
         return docs.select(*_row(id_col, "keyed-gumbel", False, F.lit(None).cast("boolean"), F.lit(None).cast("double"), "no key"))
-    found = docs.select(id_col, keyed(key)(tokens.simple_token_ids(F.coalesce(F.col(text_col), F.lit("")))).alias("r"))
+    found = docs.select(id_col, keyed_tokens(key)(tokens.simple_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("r"))
     return found.select(*_row(id_col, "keyed-gumbel", True, F.col("r.is_watermarked"), F.col("r.score"), None))
 
 

@@ -158,14 +158,14 @@ _IDS_SQL = "list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-
     w AS (SELECT doc_id, len(ids) AS n, CASE WHEN len(ids) >= 4 THEN list_transform(range(1, len(ids) - 2), lambda k: ids[k:k + 3]) ELSE [] END AS spans FROM i)
     SELECT doc_id, n AS tokens_total, least(n, 3) AS skipped_no_context, len(spans) - len(list_distinct(spans)) AS skipped_repeated, len(list_distinct(spans)) AS counted FROM w""")
 def gumbel_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "documents").select("doc_id", tokens.simple_token_ids(F.coalesce("text", F.lit(""))).alias("ids"))
-    return i.select("doc_id", detect.counters(F.col("ids")).alias("c")).select("doc_id", "c.*")
+    t = table(spark, sf_dir, "documents").select("doc_id", tokens.simple_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return t.select("doc_id", detect.token_counters(F.col("t")).alias("c")).select("doc_id", "c.*")
 
 
 @query()
 def gumbel_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "documents").select("doc_id", tokens.simple_token_ids(F.coalesce("text", F.lit(""))).alias("ids"))
-    return i.select("doc_id", detect.keyed("a key")("ids").alias("r")).select("doc_id", "r.*")
+    t = table(spark, sf_dir, "documents").select("doc_id", tokens.simple_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return t.select("doc_id", detect.keyed_tokens("a key")("t").alias("r")).select("doc_id", "r.*")
 
 
 @query(f"""WITH {_STYLE_SQL} SELECT doc_id, 'stylometry' AS detector, true AS available, score >= 0.65 AS is_watermarked, round(score, 6) AS score FROM tiered

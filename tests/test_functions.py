@@ -135,3 +135,23 @@ def test_clean_judges_carriers_only(monkeypatch):
     monkeypatch.setattr(codepoints, "_KEPT_BIDI", lambda cp: seen.append(cp) or test(cp))
     codepoints.clean("plain é words " * 1000 + "a\u200bb\u202ec")
     assert set(seen) <= {0x200B, 0x202E} and len(seen) <= 2
+
+
+def test_token_counters_are_those_of_the_ids(spark):
+    rng = random.Random(6)
+    lists = [[rng.choice("abcde") for _ in range(rng.randrange(30))] for _ in range(80)] + [None, [], ["a"] * 3, ["a"] * 9]
+    rows = spark.createDataFrame(list(enumerate(lists)), "k int, t array<string>").repartition(3)
+    ids = rows.select("k", detect.counters(F.transform("t", tokens.token_id)).alias("c"), detect.token_counters(F.col("t")).alias("d"), detect.keyed("k")(F.transform("t", tokens.token_id)).alias("x"), detect.keyed_tokens("k")("t").alias("y"))
+    got = ids.collect()
+    assert len(got) == 84 and all(r.x == r.y and (r.c == r.d or lists[r.k] is None and r.d is None) for r in got)
+
+
+def test_tokens_are_counted_in_bounded_parts(monkeypatch):
+    import pyarrow as pa
+
+    seen, counted = [], detect._counted
+    monkeypatch.setattr(detect, "TOKENS", 50)
+    monkeypatch.setattr(detect, "_counted", lambda x, n: seen.append(len(x.flatten())) or counted(x, n))
+    lists = [[str(k % 7)] * (k % 13) for k in range(100)]
+    got = detect.token_counts(pa.array(lists, pa.list_(pa.string())), 4)
+    assert max(seen) <= 62 and got.field("tokens_total").to_pylist() == [len(x) for x in lists]
