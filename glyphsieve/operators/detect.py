@@ -47,9 +47,10 @@ def gamma_tail(n: int, s: float) -> float:
 
 def statistic(ids: list[int], key: bytes, window: int = WINDOW, threshold: float = THRESHOLD, mask_repeated: bool = True) -> dict:
     """Each window's uniform number comes from the key, the ids before, and the last id; marked texts have high ones."""
-    octets, seen, total, counted, repeated = [int(i).to_bytes(8, "big") for i in ids], set(), 0.0, 0, 0
+    octets, seen, total, counted, repeated = b"".join([int(i).to_bytes(8, "big") for i in ids]), set(), 0.0, 0, 0
+    before = 8 * (window - 1)
     for k in range(window - 1, len(ids)):
-        span = b"".join(octets[k - window + 1 : k + 1])
+        span = octets[8 * k - before : 8 * k + 8]
         if mask_repeated and span in seen:
             repeated += 1
             continue
@@ -62,17 +63,22 @@ def statistic(ids: list[int], key: bytes, window: int = WINDOW, threshold: float
     return {"tokens_total": len(ids), "skipped_no_context": min(len(ids), window - 1), "skipped_repeated": repeated, "counted": counted, "statistic": total, "p_value": p, "score": round(-math.log10(p), 6) if p > 0 else 300.0, "is_watermarked": p < threshold}
 
 
+def _ids(lists: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """A code per token of all lists, and the id of each code."""
+    flat = pc.dictionary_encode(lists.flatten())
+    return flat.indices.to_numpy(zero_copy_only=False), [int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big") for t in flat.dictionary.to_pylist()]
+
+
 def keyed_tokens(key: str, window: int = WINDOW, threshold: float = THRESHOLD):
     """``keyed`` over arrays of tokens: the ids are made here, each distinct token hashed once a batch."""
     secret = key_bytes(key)
 
     @F.arrow_udf(RESULT)
     def of(lists: pa.Array) -> pa.Array:
-        flat = pc.dictionary_encode(lists.flatten())
-        ids = [int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big") for t in flat.dictionary.to_pylist()]
+        codes, ids = _ids(lists)
         out, at = [], 0
         for n in pc.list_value_length(lists).to_pylist():
-            out.append(None if n is None else statistic([ids[k] for k in flat.indices[at : at + n].to_pylist()], secret, window, threshold))
+            out.append(None if n is None else statistic([ids[k] for k in codes[at : at + n].tolist()], secret, window, threshold))
             at += n or 0
         return pa.array(out, _RESULT)
 
@@ -97,9 +103,8 @@ TOKENS = 1 << 20
 def _counted(lists: pa.ListArray, window: int) -> np.ndarray:
     """``(tokens, windows, distinct windows)`` of each list of tokens; equal ids count as equal tokens."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = pc.dictionary_encode(lists.flatten())
-    ids = np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big") for t in flat.dictionary.to_pylist()], np.uint64)
-    codes = np.unique(ids, return_inverse=True)[1][flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+    codes, ids = _ids(lists)
+    codes = np.unique(np.array(ids, np.uint64), return_inverse=True)[1][codes] if len(codes) else codes
     spans = np.maximum(sizes - window + 1, 0)
     of = np.repeat(np.arange(len(sizes)), spans)
     ends = np.cumsum(sizes)

@@ -155,3 +155,12 @@ def test_tokens_are_counted_in_bounded_parts(monkeypatch):
     lists = [[str(k % 7)] * (k % 13) for k in range(100)]
     got = detect.token_counts(pa.array(lists, pa.list_(pa.string())), 4)
     assert max(seen) <= 62 and got.field("tokens_total").to_pylist() == [len(x) for x in lists]
+
+
+def test_keyed_detection_hashes_a_token_once(monkeypatch):
+    import pyarrow as pa
+
+    hashed, sha = [], detect.hashlib.sha256
+    monkeypatch.setattr(detect.hashlib, "sha256", lambda x: hashed.append(x) or sha(x))
+    codes, ids = detect._ids(pa.array([["ab", "cd", "ab"], None, ["cd"]]))
+    assert codes.tolist() == [0, 1, 0, 1] and len(ids) == 2 and sorted(hashed) == [b"ab", b"cd"]
