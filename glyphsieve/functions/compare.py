@@ -47,10 +47,17 @@ def straight_quotes(text: Column) -> Column:
 
 
 def swap_phrases(text: Column) -> Column:
-    """Wordy phrases by short ones; the first letter's case stays, and a phrase in capitals gives one in capitals."""
+    """Wordy phrases by short ones; the first letter's case stays, and a phrase in capitals gives one in capitals.
+
+    A regular expression runs only on texts that hold its phrase.
+    """
+
+    def swap(old: str, new: str):
+        return lambda t: F.when(F.contains(t, F.lit(old)), F.regexp_replace(t, F.lit(rf"\b{old}\b"), F.lit(new))).otherwise(t)
+
     for phrase, short in (fixed.PHRASE_SWAPS | fixed.WORD_SWAPS).items():
         for old, new in ((phrase.upper(), short.upper()), (phrase[0].upper() + phrase[1:], short[0].upper() + short[1:]), (phrase, short)):
-            text = F.regexp_replace(text, rf"\b{old}\b", new)
+            text = tokens.let(text, swap(old, new))
     return text
 
 

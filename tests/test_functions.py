@@ -164,3 +164,10 @@ def test_keyed_detection_hashes_a_token_once(monkeypatch):
     monkeypatch.setattr(detect.hashlib, "sha256", lambda x: hashed.append(x) or sha(x))
     codes, ids = detect._ids(pa.array([["ab", "cd", "ab"], None, ["cd"]]))
     assert codes.tolist() == [0, 1, 0, 1] and len(ids) == 2 and sorted(hashed) == [b"ab", b"cd"]
+
+
+def test_swaps_look_for_the_phrase_before_the_expression(spark):
+    rows = spark.createDataFrame([("In order to Utilize it, IN ORDER TO utilized; reutilize",), ("plain",), (None,)], "x string").select(compare.swap_phrases(F.col("x")).alias("y"))
+    assert [r.y for r in rows.collect()] == ["To Use it, TO used; reutilize", "plain", None]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 48 == plan.count("contains(")
