@@ -80,3 +80,8 @@ def test_tables_of_pairs_are_counted_once_a_corpus(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("ReusedExchange") >= 4, plan
+
+
+def test_files_take_no_whole_texts_to_python(spark):
+    plan = plans.QUERIES["file_items"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(text") >= plan.count("Relation [") > 0
