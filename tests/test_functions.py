@@ -171,3 +171,19 @@ def test_swaps_look_for_the_phrase_before_the_expression(spark):
     assert [r.y for r in rows.collect()] == ["To Use it, TO used; reutilize", "plain", None]
     plan = rows._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace") == 48 == plan.lower().count("contains(")
+
+
+def test_keyed_statistic_is_by_hmac():
+    import hmac
+
+    rng = random.Random(7)
+    ids = [rng.randrange(2**64) for _ in range(40)] * 2
+    for key in (b"k", b"x" * 64, b"y" * 65, b"z" * 200):
+        total, seen = 0.0, set()
+        for k in range(3, len(ids)):
+            span = b"".join(i.to_bytes(8, "big") for i in ids[k - 3 : k + 1])
+            if span not in seen:
+                seen.add(span)
+                total -= math.log1p(-(int.from_bytes(hmac.digest(hmac.digest(key, span[:-8], "sha256"), span[-8:], "sha256")[:8], "big") + 0.5) / 2**64)
+        got = detect.statistic(ids, key)
+        assert (got["statistic"], got["counted"], got["skipped_repeated"]) == (total, len(seen), 77 - len(seen))
